@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import confusables, formatting_duplicates, split_components
+from corpusloom.llm import confusables, formatting_duplicates, language_id, split_components
 from corpusloom.runtime import table
 
 
@@ -24,6 +24,23 @@ def p3_form(spark, d):
     return confusables.consistent_form(table(spark, d, "long_messages").select("row_index", "raw_text"), "raw_text").select("row_index", "skeleton")
 
 
+def _languages(spark, d):
+    rows = table(spark, d, "long_messages").select("row_index", "language_column", "raw_text")
+    return rows, language_id.learn(rows)
+
+
+def p5_found(spark, d):
+    return language_id.foreign_languages(*_languages(spark, d))
+
+
+def p5_segments(spark, d):
+    return language_id.segments(*_languages(spark, d))
+
+
+def p5_documents(spark, d):
+    return language_id.documents(*_languages(spark, d))
+
+
 def p7_found(spark, d):
     return formatting_duplicates.copies(table(spark, d, "external_audited"))
 
