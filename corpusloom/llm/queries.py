@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import confusables, formatting_duplicates, language_id, split_components
+from corpusloom.llm import confusables, formatting_duplicates, language_id, split_components, split_overlap
 from corpusloom.runtime import table
 
 
+def _sides(spark, d):
+    return split_overlap.sides(table(spark, d, "long_messages"), table(spark, d, "fold_split"), table(spark, d, "external_audited"))
+
+
+def p1_found(spark, d):
+    return split_overlap.overlaps(*_sides(spark, d)).select("split_name", "eval_id")
+
+
+def p1_report(spark, d):
+    return split_overlap.report(*_sides(spark, d))
+
+
 def p2_found(spark, d):
     return split_components.tied(table(spark, d, "group_sources"))
 
