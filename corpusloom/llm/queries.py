@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import confusables, formatting_duplicates, language_id, split_components, split_overlap
+from corpusloom.llm import confusables, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
 from corpusloom.runtime import table
 
 
@@ -61,6 +61,26 @@ def p7_collapsed(spark, d):
     return formatting_duplicates.collapsed(table(spark, d, "external_audited")).select("keeper_id", "n_copies")
 
 
+def p8_found(spark, d):
+    return eval_leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p8_passages(spark, d):
+    return eval_leaks.passages(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p8_items(spark, d):
+    return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p9_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
+def p9_report(spark, d):
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
