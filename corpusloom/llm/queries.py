@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import confusables, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
+from corpusloom.llm import abuse, confusables, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
 from corpusloom.runtime import table
 
 
@@ -81,6 +81,23 @@ def p9_report(spark, d):
     return mixing.report(table(spark, d, "documents"), table(spark, d, "source_weights"))
 
 
+def _abuse(spark, d):
+    docs = table(spark, d, "documents")
+    return docs, abuse.learn(docs, table(spark, d, "review_labels"))
+
+
+def p10_found(spark, d):
+    return abuse.scores(*_abuse(spark, d)).where("score >= 0.5").select("doc_id")
+
+
+def p10_scores(spark, d):
+    return abuse.scores(*_abuse(spark, d))
+
+
+def p10_rates(spark, d):
+    return abuse.rates(*_abuse(spark, d))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
