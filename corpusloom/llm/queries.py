@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import abuse, confusables, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
+from corpusloom.llm import abuse, confusables, encoding_repair, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
 from corpusloom.runtime import table
 
 
@@ -53,6 +53,19 @@ def p5_documents(spark, d):
     return language_id.documents(*_languages(spark, d))
 
 
+def _garbled(spark, d):
+    records = table(spark, d, "external_audited")
+    return encoding_repair.garbled(records, encoding_repair.fit(records, table(spark, d, "long_messages").select(F.col("raw_text").alias("text"))))
+
+
+def p6_found(spark, d):
+    return _garbled(spark, d).select("record_id")
+
+
+def p6_restored(spark, d):
+    return _garbled(spark, d)
+
+
 def p7_found(spark, d):
     return formatting_duplicates.copies(table(spark, d, "external_audited"))
 
