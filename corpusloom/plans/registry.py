@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import parsing
-
-MODULES = (parsing,)
+from corpusloom.plans import base, parsing, splitting, text  # noqa: F401  (importing registers)
 
 
 def queries():
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return base.QUERIES | parsing.QUERIES
 
 
 def oracle_sql():
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return base.SQL | parsing.SQL
 
 
 def flagship(spark, sf_dir):
-    return parsing.QUERIES["p4_found"](spark, sf_dir)
+    """Vocabulary of the training part and its coverage of each part and language."""
+    return text.a19_vocabulary_coverage(spark, sf_dir)
