@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import base, parsing, splitting, text  # noqa: F401  (importing registers)
+from corpusloom.plans import base, evaluation, parsing, splitting, text  # noqa: F401  (importing registers)
 
 
 def queries():
