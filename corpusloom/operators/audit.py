@@ -41,7 +41,7 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def bands(h: Column) -> Column:
-    return F.transform(F.array(*map(F.lit, range(BANDS))), lambda b: F.struct(b.alias("band"), F.shiftrightunsigned(h, b * 16).bitwiseAND(0xFFFF).alias("key")))
+    return F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(h, 16 * b).bitwiseAND(0xFFFF).alias("key")) for b in range(BANDS)))
 
 
 def nearest(reference: DataFrame, queries: DataFrame, key: str = "record_id") -> DataFrame:

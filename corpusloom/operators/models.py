@@ -97,7 +97,7 @@ def train_runs(rows: DataFrame, runs: DataFrame, table: np.ndarray, epochs: int
     rows of one fold must fit a task, as they must fit the one machine that trains a run."""
     work = runs.join(rows, "fold")
 
-    def train(key, f: pd.DataFrame) -> pd.DataFrame:
+    def train(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         part = {p: f[f["part"] == p].sort_values("row_index") for p in ("train", "validation", "test")}
         x = {p: np.array(g["tokens"].tolist(), dtype=np.int64).reshape(len(g), -1) for p, g in part.items()}
         net = TokenNetwork(table.shape[1], int(key[2]))

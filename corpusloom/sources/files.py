@@ -20,7 +20,7 @@ def write_split(split: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_predictions(spark: SparkSession, glob: str, expected: int) -> DataFrame:
