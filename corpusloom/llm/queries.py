@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.llm import abuse, confusables, encoding_repair, eval_leaks, formatting_duplicates, language_id, mixing, split_components, split_overlap
+from corpusloom.llm.oracle import SQL
 from corpusloom.runtime import table
 
 
@@ -116,4 +117,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
