@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.confusables import skeleton
+from corpusloom.llm.sampling import smallest_hashes
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "tr", "ru", "hi")
 SAMPLE_ROWS = 8000
@@ -243,7 +244,7 @@ def learn(rows: DataFrame, key: str = "row_index", label: str = "language_column
     """Models from the bounded sample of labelled rows."""
     known = rows.select(F.col(key).alias("k"), language_of_label(F.col(label)).alias("lang"), F.col(text).alias("t"))
     known = known.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
-    return train([(r["lang"], r["t"]) for r in known.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).select("lang", "t").collect()])
+    return train([(r["lang"], r["t"]) for r in smallest_hashes(known, ["k"], SAMPLE_ROWS).select("lang", "t").collect()])
 
 
 def segments(rows: DataFrame, models: Models, key: str = "row_index", text: str = "raw_text") -> DataFrame:

@@ -56,7 +56,7 @@ def p5_documents(spark, d):
 
 def _garbled(spark, d):
     records = table(spark, d, "external_audited")
-    return encoding_repair.garbled(records, encoding_repair.fit(records, table(spark, d, "long_messages").select(F.col("raw_text").alias("text"))))
+    return encoding_repair.garbled(records, encoding_repair.fit(records, table(spark, d, "long_messages").select(F.col("row_index").alias("key"), F.col("raw_text").alias("text"))))
 
 
 def p6_found(spark, d):

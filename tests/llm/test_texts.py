@@ -79,7 +79,7 @@ def garbled_table(spark):
     n = len(data)
     data += [(n, "fr", "caf� noir"), (n + 1, "fr", None), (n + 2, "fr", "plain"), (n + 3, "fr", ""), (n + 4, "fr", "ÉCOLE À NICE"), (n + 5, None, "été " * 20_000)]
     want.add(n)
-    return spark.createDataFrame([(*d, "clash") for d in data], "record_id bigint, dataset string, raw_text string, restored_text string"), spark.createDataFrame([(t,) for t in clean], "text string"), want, clean
+    return spark.createDataFrame([(*d, "clash") for d in data], "record_id bigint, dataset string, raw_text string, restored_text string"), spark.createDataFrame(list(enumerate(clean)), "key int, text string"), want, clean
 
 
 def test_garbled_records(spark):
