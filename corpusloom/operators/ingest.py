@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text
@@ -32,16 +32,18 @@ def load_long(wide: DataFrame) -> DataFrame:
     kept in row order, everything but ham positive. Row numbers are running totals over column and group ranges, so no
     task numbers all rows."""
     long = melt(wide).where("raw_text is not null")
-    w = Window.partitionBy("labels", "raw_text").orderBy("column_place", "group_id")
-    kept = long.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").withColumn("one", F.lit(1)).withColumn("all_rows", F.lit(0))
+    kept = keep_first(long, ["labels", "raw_text"], ["column_place", "group_id"]).withColumn("one", F.lit(1)).withColumn("all_rows", F.lit(0))
     bucket = F.col("column_place") * 1048576 + F.floor(F.col("group_id") / 4096)
     n = running_total(kept, ["all_rows"], ["column_place", "group_id"], bucket, "one", "row_index", "of")
     return n.select(F.col("row_index").cast("bigint").alias("row_index"), "group_id", "language_column", (~F.col("labels").eqNullSafe("ham")).cast("tinyint").alias("label"), clean_text(F.col("raw_text")).alias("clean_text"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
-    o = [F.desc(c) for c in order] if last else order
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*o))).where("_k = 1").drop("_k")
+    """The first (or last) row of each key in the given order. An aggregate that is combined map-side, so the rows of a
+    hot key never meet in one task."""
+    pick = F.max_by if last else F.min_by
+    others = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def duplicate_count(df: DataFrame, keys: list[str]) -> DataFrame:

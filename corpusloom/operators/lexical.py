@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
+from corpusloom.operators.prefix import running_total
 
 
 def occurrences(docs: DataFrame, key: str = "row_index", text: str = "clean_text", by: list[str] | None = None) -> DataFrame:
@@ -15,12 +16,17 @@ def occurrences(docs: DataFrame, key: str = "row_index", text: str = "clean_text
 
 
 def vocabulary(docs: DataFrame, key: str = "row_index", text: str = "clean_text", by: list[str] | None = None, top: int | None = None) -> DataFrame:
-    """word, cnt, idx: ranked by count, then first occurrence; 1-based, 0 is padding. The counts are combined map-side;
-    the rank runs over distinct words within `by`."""
+    """word, cnt, idx: ranked by count, then first occurrence; 1-based, 0 is padding. The counts are combined map-side.
+    A top list is an ordered limit; the full rank is a running total over ranges of (count, first row)."""
     by = by or []
     c = occurrences(docs, key, text, by).groupBy(*by, "word").agg(F.count("*").alias("cnt"), F.min(F.struct(key, "place")).alias("first"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    v = c.withColumn("idx", F.row_number().over(w.orderBy(F.desc("cnt"), "first")))
+    if top is not None and not by:
+        best = c.orderBy(F.desc("cnt"), "first").limit(top)
+        return best.select("word", "cnt", F.row_number().over(Window.orderBy(F.desc("cnt"), "first")).alias("idx"))
+    rare = (F.lit(1 << 20) - F.col("cnt")) * (1 << 24) + F.least(F.floor(F.col(f"first.{key}") / 4096), F.lit((1 << 24) - 1))
+    ranges = F.when(F.col("cnt") >= 1 << 20, F.lit(0).cast("bigint")).otherwise(rare)
+    v = running_total(c.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)), by or ["_all"], [F.desc("cnt"), "first"], ranges, "_one", "_before_me", "_n")
+    v = v.withColumn("idx", (F.col("_before_me") + 1).cast("int"))
     v = v if top is None else v.where(F.col("idx") <= top)
     return v.select(*by, "word", "cnt", "idx")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import running_total
+
 _P = 2147483647
 
 
@@ -21,10 +23,14 @@ def group_labels(messages: DataFrame) -> DataFrame:
     return messages.where("group_id is not null").groupBy("group_id").agg(F.min_by("label", "row_index").alias("label"))
 
 
+def _ranked(df: DataFrame, strata: list[str], h: str, key: str) -> DataFrame:
+    """Adds _k, the 1-based rank by hash and id within the strata, and _n, their size, over 256 ranges of the hash."""
+    r = running_total(df.withColumn("_one", F.lit(1)), strata, [h, key], F.floor(F.col(h) / 8388608), "_one", "_before_me", "_n")
+    return r.withColumn("_k", F.col("_before_me") + 1).drop("_one", "_before_me")
+
+
 def _stratified(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
-    w = Window.partitionBy(*strata)
-    o = w.orderBy(shuffled(F.col(key), seed), key)
-    return df.withColumn("_k", F.row_number().over(o)).withColumn("_n", F.count("*").over(w))
+    return _ranked(df.withColumn("_h", shuffled(F.col(key), seed)), strata, "_h", key)
 
 
 def three_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -41,8 +47,7 @@ def folds(groups: DataFrame, n: int = 5, seed: int = 42, inner: float = 0.2) ->
     each = base.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     test = each.where("own = fold").select("fold", "group_id", F.lit("test").alias("part"))
     rest = each.where("own <> fold").withColumn("h", shuffled(F.col("group_id") + F.col("fold") * 1000003, seed))
-    w = Window.partitionBy("fold", "label")
-    k = rest.withColumn("u", (F.row_number().over(w.orderBy("h", "group_id")) - 0.5) / F.count("*").over(w))
+    k = _ranked(rest, ["fold", "label"], "h", "group_id").withColumn("u", (F.col("_k") - 0.5) / F.col("_n"))
     return test.unionByName(k.select("fold", "group_id", F.when(F.col("u") < inner, "validation").otherwise("train").alias("part")))
 
 
