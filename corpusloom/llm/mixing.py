@@ -95,7 +95,10 @@ def schedule(p: DataFrame) -> DataFrame:
 
 def mixture(documents: DataFrame, weights: DataFrame, path: str = TOKENIZER, seed: int = 11) -> DataFrame:
     """slot, source, block, doc_id, copy, tokens: the mixed corpus, to be read in the order of slots."""
-    counted = sizes(documents, path)
+    return _mixed(sizes(documents, path), weights, seed)
+
+
+def _mixed(counted: DataFrame, weights: DataFrame, seed: int = 11) -> DataFrame:
     p = cut(plan(counted, weights))
     use = F.broadcast(p.where("to_use > 0").select("source", "available", "to_use"))
     docs = counted.where("tokens > 0").join(use, "source")
@@ -111,7 +114,7 @@ def report(documents: DataFrame, weights: DataFrame, path: str = TOKENIZER) -> D
     """Per source: what was wanted, what was reached, and how often documents were used."""
     counted = sizes(documents, path)
     p = plan(counted, weights)
-    mixed = mixture(documents, weights, path).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), (F.max("copy") + 1).alias("repeats"))
+    mixed = _mixed(counted, weights).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), (F.max("copy") + 1).alias("repeats"))
     out = p.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0))).withColumn("repeats", F.coalesce("repeats", F.lit(0)))
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
     return out.select("source", "target_share", "max_repeats", "n_documents", "available", "wanted", "mixed_tokens", "repeats", F.round(F.try_divide(F.col("mixed_tokens"), whole), 6).alias("reached_share"), (F.col("mixed_tokens") < F.col("wanted")).alias("short"))
