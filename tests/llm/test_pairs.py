@@ -170,3 +170,19 @@ def test_near_leak_within_the_budget(spark):
     docs = spark.createDataFrame([(1, item.replace("word9", "wordX")), (2, " ".join(f"other{k}" for k in range(24)))], "doc_id bigint, text string")
     got = rows(eval_leaks.passages(docs, spark.createDataFrame([(7, "d", item)], "item_id bigint, dataset string, text string")))
     assert got == [(1, 7, 14, 1)]
+
+
+def test_overlap_without_a_rare_common_run(spark):
+    r = random.Random(7)
+    vocab = [w for w in words(r, 200) if len(w) > 4][:30]
+    line = lambda: [r.choice(vocab) for _ in range(12)]
+    train = [" ".join(line()) for _ in range(400)] + ["telephones"]
+    noisy = [" ".join(w[:2] + w[2] + w[2:] if k % 2 else w for k, w in enumerate(t.split())) for t in train[:40]]
+    evaluation = noisy + [" ".join(line()) for _ in range(400)] + ["telephone", "telegraph"]
+    best = lambda q: max(SequenceMatcher(None, q, t, autojunk=False).ratio() for t in train)
+    want = {k: best(q) for k, q in enumerate(evaluation) if k < 40 or k >= 440 or best(q) >= 0.9}
+    want = {k: x for k, x in want.items() if x >= 0.9}
+    ev = spark.createDataFrame([("test", k, "s", t) for k, t in enumerate(evaluation)], "split_name string, eval_id bigint, source string, text string")
+    got = {r[0]: r[1] for r in split_overlap.overlaps(spark.createDataFrame([(t,) for t in train], "text string"), ev).select("eval_id", "similarity").collect()}
+    assert len(want) >= 40 and 440 in want and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
