@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text: pigeonhole edit matching.
 
-Every window of `RUN` words of a test item may differ from the corpus by `BUDGET` edits; cut into BUDGET + 1 pieces, one
-piece must then occur exactly. Pieces are the aligned blocks of PIECE words of each item: every run of RUN words holds
-one of them whole. An Aho-Corasick automaton finds all exact piece hits in a document in one pass; each hit is verified
-by extending it word by word, and, where the exact run is shorter than RUN, by Myers' bit-parallel edit distance of the
-item's windows around the piece. A leak as TESTDATA.md defines it is an exact run of RUN words, which is checked last.
+Every window of `RUN` words of a test item may differ from the corpus by `BUDGET` edits of one letter or blank. Pieces
+are the aligned blocks of PIECE words of each item: every run of RUN words holds 2 * BUDGET + 1 of them whole, and as an
+edit of the blank between two pieces breaks both, one piece must still occur exactly, in an exact run of `LEAST` words. An Aho-Corasick automaton finds all exact piece hits in a document in one pass; each hit is verified
+by extending it word by word, and, where the exact run is shorter than RUN, by Myers' bit-parallel edit distance of all
+the item's windows that hold the piece. A leak as TESTDATA.md defines it is an exact run of RUN words, which is checked last.
 
 Documents are read once and never shuffled. Items go to the workers in blocks of at most `BLOCK_WORDS` words, so the
 automaton has a bound whatever the number of items; more items mean more passes.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 RUN = 16
 BUDGET = 1
-PIECE = RUN // (BUDGET + 1)
+PIECE = (RUN + 1) // (2 * BUDGET + 2)
+LEAST = (RUN - BUDGET) // (BUDGET + 1)  # words of the longest exact run in a window within the budget
 BLOCK_WORDS = 1_000_000
 _BREAK = re.compile(r"<br\s*/?>", re.I)
 
@@ -78,25 +79,26 @@ def myers(pattern: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
-def _run_length(item: list[str], at: int, doc: list[str], start: int) -> int:
-    """Words of the exact run around the piece at item[at:] and doc[start:]."""
+def _run(item: list[str], at: int, doc: list[str], start: int) -> tuple[int, int]:
+    """Words before the piece and in all of the exact run around the piece at item[at:] and doc[start:]."""
     a = 0
     while a < at and a < start and item[at - 1 - a] == doc[start - 1 - a]:
         a += 1
     b = 0
     while at + b < len(item) and start + b < len(doc) and item[at + b] == doc[start + b]:
         b += 1
-    return a + b
+    return a, a + b
 
 
 def _near(item: list[str], at: int, doc: list[str], start: int) -> int:
-    """Least distance of the two windows that hold the piece, within the budget."""
+    """Least distance of the windows that hold the piece, within the budget."""
     best = BUDGET + 1
-    for begin in (at - (RUN - PIECE), at):
-        if begin < 0 or begin + RUN > len(item):
-            continue
+    for begin in range(max(0, at - (RUN - PIECE)), min(at, len(item) - RUN) + 1):
         from_ = max(0, start - (at - begin) - BUDGET)
-        best = min(best, myers(" ".join(item[begin : begin + RUN]), " ".join(doc[from_ : from_ + RUN + 2 * BUDGET]), BUDGET))
+        window, part = item[begin : begin + RUN], doc[from_ : from_ + RUN + 2 * BUDGET]
+        # An edit changes two words at most; the first and the last may be parts of longer ones.
+        if len(set(window).difference(part)) <= 2 * BUDGET + 2:
+            best = min(best, myers(" ".join(window), " ".join(part), BUDGET))
     return best
 
 
@@ -117,11 +119,17 @@ def _finder(items: list[tuple[int, str]], near: bool) -> Callable[[Iterator[pa.R
                 doc = words_of(text)
                 line = " " + " ".join(doc) + " "
                 best: dict[int, tuple[int, int]] = {}
+                done: set[tuple[int, int, int]] = set()
                 for end, (size, where) in machine.iter(line) if pieces else ():
                     start = line.count(" ", 0, end - size + 1)
                     for key, at in where:
-                        n = _run_length(split[key], at, doc, start)
-                        d = 0 if n >= RUN else _near(split[key], at, doc, start) if near else BUDGET + 1
+                        a, n = _run(split[key], at, doc, start)
+                        if n < LEAST or n < RUN and not near:
+                            continue
+                        if n >= RUN and (key, at - a, start - a) in done:
+                            continue
+                        done.add((key, at - a, start - a))
+                        d = 0 if n >= RUN else _near(split[key], at, doc, start)
                         if d <= BUDGET:
                             old = best.get(key, (0, BUDGET + 1))
                             best[key] = (max(old[0], n), min(old[1], d))
@@ -151,10 +159,12 @@ def passages(documents: DataFrame, items: DataFrame, near: bool = True) -> DataF
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id: the document holds RUN words of the item in a row."""
-    return passages(documents, items, near=False).where(F.col("run_words") >= RUN).select("doc_id", "item_id").distinct()
+    return passages(documents, items).where(F.col("run_words") >= RUN).select("doc_id", "item_id").distinct()
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, dataset, n_documents, longest run of each test item that leaked."""
-    p = passages(documents, items, near=False).where(F.col("run_words") >= RUN)
-    return p.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("run_words").alias("longest_run")).join(items.select("item_id", "dataset"), "item_id")
+    """item_id, dataset, n_documents with RUN words in a row, n_near documents with a window within the budget only,
+    longest run of each test item that leaked."""
+    p = passages(documents, items).groupBy("item_id", "doc_id").agg(F.max("run_words").alias("run_words"))
+    n = p.groupBy("item_id").agg(F.count_if(F.col("run_words") >= RUN).alias("n_documents"), F.count_if(F.col("run_words") < RUN).alias("n_near"), F.max("run_words").alias("longest_run"))
+    return n.join(items.select("item_id", "dataset"), "item_id")

@@ -186,3 +186,18 @@ def test_overlap_without_a_rare_common_run(spark):
     got = {r[0]: r[1] for r in split_overlap.overlaps(spark.createDataFrame([(t,) for t in train], "text string"), ev).select("eval_id", "similarity").collect()}
     assert len(want) >= 40 and 440 in want and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_near_leak_at_every_offset_and_edit(spark):
+    item = [f"w{k:02d}x{'abcdefgh'[k % 8]}" for k in range(40)]
+    docs = []
+    for begin in range(25):
+        for k in range(16):
+            w = item[begin : begin + 16]
+            docs += [(len(docs), " ".join([*w[:k], w[k][:2] + "Q" + w[k][3:], *w[k + 1 :]])), (len(docs) + 1, " ".join(w[: k + 1]) + " ".join(["", *w[k + 1 :]])[k % 2 :])]
+    dd = spark.createDataFrame([(k, f"before it {t} after it") for k, t in docs], "doc_id bigint, text string")
+    ii = spark.createDataFrame([(7, "d", " ".join(item)), (8, "d", "nothing of it " * 10)], "item_id bigint, dataset string, text string")
+    got = rows(eval_leaks.passages(dd, ii))
+    assert {r[0] for r in got} == {k for k, _ in docs} and all(r[1] == 7 and r[3] <= 1 for r in got)
+    exact = sum(r[2] >= 16 for r in got)
+    assert rows(eval_leaks.leaked_items(dd, ii)) == [(7, exact, len(docs) - exact, 16, "d")] and 0 < exact < len(docs)
