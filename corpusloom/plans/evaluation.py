@@ -155,13 +155,13 @@ def x2_cost_table(spark, d):
 
 
 @query(f"WITH {RUNS} SELECT DISTINCT configuration, 'plain' AS family, CASE WHEN width >= 512 THEN 'wide' WHEN width >= 128 THEN 'middle' ELSE 'narrow' END AS size FROM runs")
-def p10_name_rules(spark, d):
+def proj_p10_name_rules(spark, d):
     size = F.when(F.col("width") >= 512, "wide").when(F.col("width") >= 128, "middle").otherwise("narrow")
     return runs(spark, d).select("configuration", reporting.family(F.col("configuration")).alias("family"), size.alias("size")).distinct()
 
 
 @query(f"WITH {RUNS}, a AS (SELECT seed, configuration, round(avg(mcc), 6) AS m FROM runs GROUP BY ALL) SELECT seed, {', '.join(f'''max(m) FILTER (configuration = 'config_{c}') AS config_{c}''' for c in range(1, 5))} FROM a GROUP BY seed")
-def p2_pivot(spark, d):
+def proj_p2_pivot(spark, d):
     return runs(spark, d).groupBy("seed").pivot("configuration", [f"config_{c}" for c in range(1, 5)]).agg(F.round(F.avg("mcc"), 6))
 
 

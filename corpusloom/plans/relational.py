@@ -59,35 +59,35 @@ def s14_globbed_files(spark, d):
 
 
 @query("SELECT c_custkey, c_name FROM customer")
-def p3_columns_by_prefix(spark, d):
+def proj_p3_columns_by_prefix(spark, d):
     c = table(spark, d, "customer")
     assert text_columns(spark.createDataFrame([], "text string, text_de string, other string")) == ["text", "text_de"]
     return c.select(*[x for x in c.columns if x in ("c_custkey", "c_name")])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND regexp_matches(o_orderpriority, '^[12]-')")
-def p4_p5_p6_filters(spark, d):
+def proj_p4_p5_p6_filters(spark, d):
     return table(spark, d, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_orderpriority").rlike("^[12]-")).select("o_orderkey")
 
 
 @query("SELECT row_index, labels FROM long_messages JOIN fold_split USING (row_index) WHERE part = 'test'")
-def p7_positional_projection(spark, d):
+def proj_p7_positional_projection(spark, d):
     m, s = t(spark, d, "long_messages", "fold_split")
     return m.join(s.where("part = 'test'").select("row_index"), "row_index", "left_semi").select("row_index", "labels")
 
 
 @query("SELECT 'tpch' AS origin, l_orderkey AS order_key, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
-def p9_derived_columns(spark, d):
+def proj_p9_derived_columns(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").withColumn("net", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)).withColumnRenamed("l_orderkey", "order_key").select(F.lit("tpch").alias("origin"), "order_key", "l_linenumber", "net")
 
 
 @query("SELECT record_id, coalesce(raw_text, '') AS raw_text, label IS NULL AS open FROM external_audited WHERE dataset IS NOT NULL")
-def p11_missing_values(spark, d):
+def proj_p11_missing_values(spark, d):
     return table(spark, d, "external_audited").dropna(subset=["dataset"]).fillna({"raw_text": ""}).select("record_id", "raw_text", F.col("label").isNull().alias("open"))
 
 
 @query("SELECT n_nationkey AS validation_n_nationkey, n_name AS validation_n_name, n_regionkey AS validation_n_regionkey FROM nation")
-def p12_prefixed_columns(spark, d):
+def proj_p12_prefixed_columns(spark, d):
     n = table(spark, d, "nation")
     return n.select(*(F.col(c).alias(f"validation_{c}") for c in n.columns))
 

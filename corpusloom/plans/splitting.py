@@ -29,7 +29,7 @@ def _wide(spark, d):
 
 
 @query(f"WITH {_LONG} SELECT group_id, labels, language_column, raw_text, column_place FROM placed")
-def p1_unpivot(spark, d):
+def proj_p1_unpivot(spark, d):
     return ingest.melt(_wide(spark, d)).select("group_id", "labels", "language_column", "raw_text", "column_place")
 
 

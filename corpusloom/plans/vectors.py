@@ -26,7 +26,7 @@ def _long(df, digits: int = 5):
 
 
 @query(f"WITH {_TAB} {_LONG('vec[1:8]', 'ta')}")
-def p8_array_prefix(spark, d):
+def proj_p8_array_prefix(spark, d):
     return _long(_tables(spark, d)[0].select("idx", F.slice("vec", 1, 8).alias("vec")))
 
 
