@@ -201,3 +201,31 @@ def test_near_leak_at_every_offset_and_edit(spark):
     assert {r[0] for r in got} == {k for k, _ in docs} and all(r[1] == 7 and r[3] <= 1 for r in got)
     exact = sum(r[2] >= 16 for r in got)
     assert rows(eval_leaks.leaked_items(dd, ii)) == [(7, exact, len(docs) - exact, 16, "d")] and 0 < exact < len(docs)
+
+
+def test_blocks_of_long_texts_are_those_of_the_sequence_matcher():
+    r = random.Random(11)
+    for _ in range(200):
+        a = [r.choice("ab c") for _ in range(r.randint(0, 60))]
+        b = [r.choice("abcd") if r.random() < 0.2 else c for c in a if r.random() < 0.9]
+        want = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert split_overlap._matched("".join(a), "".join(b)) == want
+
+
+def test_subsequences_of_many_pairs_equal_those_of_one():
+    r = random.Random(12)
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.choice([1, 5, 63, 64, 65, 128, 200, 3500])))
+    a, b = (split_overlap.Texts([text() for _ in range(40)]) for _ in "ab")
+    t, d = np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40)
+    some = np.array(r.sample(range(1600), 200))
+    assert split_overlap._subsequences(a, b, t[some], d[some]).tolist() == [split_overlap._common(b.texts[y], a.texts[x]) for x, y in zip(t[some], d[some])]
+
+
+def test_near_copies_with_a_changed_letter_in_every_third_word(spark):
+    r = random.Random(13)
+    train = [" ".join(words(r, 18)) for _ in range(80)] + ["aaa " * 6000 + "b", " ".join(words(r, 12_000))]
+    changed = lambda t: " ".join("q" + w[1:] if k % 3 == 0 else w for k, w in enumerate(t.split()))
+    evaluation = [changed(t) for t in train[:50]] + ["aaa " * 6000 + "c", train[-1][:-1] + "?", " ".join(words(r, 12_000))]
+    ev = spark.createDataFrame([("test", k, "s", t) for k, t in enumerate(evaluation)], "split_name string, eval_id bigint, source string, text string")
+    got = split_overlap.overlaps(spark.createDataFrame([(t,) for t in train], "text string"), ev)
+    assert {r["eval_id"] for r in got.collect()} == {*range(52)}
