@@ -93,6 +93,36 @@ def test_garbled_records(spark):
     assert encoding_repair.garbled(empty, encoding_repair.fit(empty, clean.limit(0))).count() == 0
 
 
+def test_a_page_of_no_library_is_learnt_and_restored(spark):
+    r = random.Random(21)
+    clean = [sentence(r, lang, 12) for _ in range(200) for lang in ("tr", "fr")]
+    letters = sorted({c for t in clean for c in t if ord(c) > 127})
+    signs = [chr(0x2200 + k) for k in range(len(letters))]
+    r.shuffle(signs)
+    page = str.maketrans(dict(zip(letters, signs)))
+    data = [(k, ("tr", "fr")[k % 2], t.translate(page) if k % 3 == 0 else t) for k, t in enumerate(clean)]
+    df = spark.createDataFrame(data, "record_id bigint, dataset string, raw_text string")
+    m = encoding_repair.fit(df, spark.createDataFrame([(t,) for t in clean], "text string"))
+    got = {x[0]: x[1] for x in encoding_repair.garbled(df, m).collect()}
+    want = {k for k, _, t in data if any(c in signs for c in t)}
+    assert set(got) == want
+    assert np.mean([got[k] == clean[k] for k in want]) > 0.9
+
+
+def test_texts_garbled_many_times_come_back(spark):
+    r = random.Random(22)
+    clean = [sentence(r, "fr", 12) for _ in range(80)]
+    data = [(k, "fr", t) for k, t in enumerate(clean)] + [(100 + n, "fr", "la rivi\u00e8re est tr\u00e8s belle") for n in range(6)]
+    for n in range(6):
+        t = data[80 + n][2]
+        for _ in range(n):
+            t = t.encode("utf-8").decode("latin-1")
+        data[80 + n] = (100 + n, "fr", t)
+    df = spark.createDataFrame(data, "record_id bigint, dataset string, raw_text string")
+    got = {x[0]: x[1] for x in encoding_repair.garbled(df, encoding_repair.fit(df, spark.createDataFrame([(t,) for t in clean], "text string"))).collect()}
+    assert got == {100 + n: "la rivi\u00e8re est tr\u00e8s belle" for n in range(1, 6)}
+
+
 def test_round_trip_of_every_swap():
     for name, page, true in encoding_repair.SWAPS:
         for text in ("öçşğı", "привет", "é€"):
