@@ -2,9 +2,11 @@
 
 Every window of `RUN` words of a test item may differ from the corpus by `BUDGET` edits of one letter or blank. Pieces
 are the aligned blocks of PIECE words of each item: every run of RUN words holds 2 * BUDGET + 1 of them whole, and as an
-edit of the blank between two pieces breaks both, one piece must still occur exactly, in an exact run of `LEAST` words. An Aho-Corasick automaton finds all exact piece hits in a document in one pass; each hit is verified
-by extending it word by word, and, where the exact run is shorter than RUN, by Myers' bit-parallel edit distance of all
-the item's windows that hold the piece. A leak as TESTDATA.md defines it is an exact run of RUN words, which is checked last.
+edit of the blank between two pieces breaks both, one piece must still occur exactly, in an exact run of `LEAST` words.
+An Aho-Corasick automaton finds all exact piece hits in a document in one pass. Each hit is extended word by word to an
+exact run, once for each run; where that is shorter than RUN, it is carried on beyond one word that differs (or one that
+is split or joined) on either side, and a window of RUN words so reached is decided by Myers' bit-parallel edit distance.
+A leak as TESTDATA.md defines it is an exact run of RUN words, which is checked last.
 
 Documents are read once and never shuffled. Items go to the workers in blocks of at most `BLOCK_WORDS` words, so the
 automaton has a bound whatever the number of items; more items mean more passes.
@@ -90,15 +92,27 @@ def _run(item: list[str], at: int, doc: list[str], start: int) -> tuple[int, int
     return a, a + b
 
 
-def _near(item: list[str], at: int, doc: list[str], start: int) -> int:
-    """Least distance of the windows that hold the piece, within the budget."""
+def _near(item: list[str], at: int, doc: list[str], start: int, n: int) -> int:
+    """Least distance of a window of RUN words that holds the exact run of n words at item[at:] and doc[start:] and goes
+    on beyond one edit, before or after it. One edit changes a word, splits one in two or joins two."""
     best = BUDGET + 1
-    for begin in range(max(0, at - (RUN - PIECE)), min(at, len(item) - RUN) + 1):
-        from_ = max(0, start - (at - begin) - BUDGET)
-        window, part = item[begin : begin + RUN], doc[from_ : from_ + RUN + 2 * BUDGET]
-        # An edit changes two words at most; the first and the last may be parts of longer ones.
-        if len(set(window).difference(part)) <= 2 * BUDGET + 2:
-            best = min(best, myers(" ".join(window), " ".join(part), BUDGET))
+    for i, d in ((1, 1), (2, 1), (1, 2)):
+        e, f = at + n + i, start + n + d
+        if e <= len(item) and f <= len(doc):
+            more = 0
+            while e + more < len(item) and f + more < len(doc) and item[e + more] == doc[f + more] and n + i + more < RUN:
+                more += 1
+            if n + i + more >= RUN:
+                begin = e + more - RUN
+                best = min(best, myers(" ".join(item[begin : begin + RUN]), " ".join(doc[start - at + begin : f + more]), BUDGET))
+        e, f = at - i, start - d
+        if e >= 0 and f >= 0:
+            more = 0
+            while more < e and more < f and item[e - 1 - more] == doc[f - 1 - more] and n + i + more < RUN:
+                more += 1
+            if n + i + more >= RUN:
+                begin = e - more
+                best = min(best, myers(" ".join(item[begin : begin + RUN]), " ".join(doc[f - more : start + begin + RUN - at]), BUDGET))
     return best
 
 
@@ -119,17 +133,20 @@ def _finder(items: list[tuple[int, str]], near: bool) -> Callable[[Iterator[pa.R
                 doc = words_of(text)
                 line = " " + " ".join(doc) + " "
                 best: dict[int, tuple[int, int]] = {}
-                done: set[tuple[int, int, int]] = set()
+                done: dict[tuple[int, int], int] = {}  # of item and diagonal: where the last run ends in the document
+                blanks, last = 0, 0
                 for end, (size, where) in machine.iter(line) if pieces else ():
-                    start = line.count(" ", 0, end - size + 1)
+                    # Hits come by their ends; those of one end may begin anywhere before.
+                    blanks, last = blanks + line.count(" ", last, end + 1), end + 1
+                    start = blanks - PIECE - 1
                     for key, at in where:
+                        if done.get((key, at - start), -1) > start:
+                            continue
                         a, n = _run(split[key], at, doc, start)
+                        done[key, at - start] = start - a + n
                         if n < LEAST or n < RUN and not near:
                             continue
-                        if n >= RUN and (key, at - a, start - a) in done:
-                            continue
-                        done.add((key, at - a, start - a))
-                        d = 0 if n >= RUN else _near(split[key], at, doc, start)
+                        d = 0 if n >= RUN else _near(split[key], at - a, doc, start - a, n)
                         if d <= BUDGET:
                             old = best.get(key, (0, BUDGET + 1))
                             best[key] = (max(old[0], n), min(old[1], d))
