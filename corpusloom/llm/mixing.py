@@ -7,8 +7,13 @@ block: van der Corput points (the reversed bits of the slot number) are mapped t
 stretch of the schedule holds the sources in their proportions; the slots of a source are ranked, and rank k takes its
 block k.
 
-No source is ranked by one task: running totals are computed per hash bucket with bucket offsets. The tables that are
-broadcast have one row per source.
+No source is ranked by one task: running totals are computed per hash bucket with bucket offsets, and the number of
+buckets grows with the documents. Points meet sources by cells of the unit interval. The tables that are broadcast have
+one row per source or cell.
+
+Shares are of all tokens of the documents. What a source cannot fill because its repeats are used up stays unfilled: it
+goes to no other source, whose tokens stay as wanted, and the mixture is that much smaller. The report gives the share
+reached of all tokens and the share of the mixture.
 
 Defined cases: documents with NULL text or NULL source or of a source without a weight are not used; a source without
 documents reaches 0; NULL or non-positive shares and repeats count as 0; an empty table gives an empty mixture; repeated
@@ -30,7 +35,8 @@ from corpusloom.operators.prefix import running_total
 from corpusloom.runtime import cut
 
 BLOCK_TOKENS = 8192
-BUCKETS = 64
+BUCKET_ROWS = 50_000
+CELLS = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,7 +72,7 @@ def plan(counted: DataFrame, weights: DataFrame) -> DataFrame:
     return p.withColumn("slots", F.ceil(F.col("to_use") / BLOCK_TOKENS).cast("bigint"))
 
 
-def van_der_corput(i: Column, bits: int = 32) -> Column:
+def van_der_corput(i: Column, bits: int = 52) -> Column:
     """The reversed bits of a number below 2 ** bits, as a point in [0, 1)."""
     return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("double") / float(1 << bits)
 
@@ -77,19 +83,22 @@ def schedule(p: DataFrame) -> DataFrame:
     rows = [(r["source"], r["slots"]) for r in p.select("source", "slots").orderBy("source").collect()]  # one row a source
     whole, borders, at = sum(n for _, n in rows), [], 0
     for source, n in rows:
-        borders.append((source, at / whole if whole else 0.0, (at + n) / whole if whole else 0.0, n))
+        lo, hi = at / whole if whole else 0.0, (at + n) / whole if whole else 0.0
+        if n:
+            borders += [(cell, source, lo, hi, n) for cell in range(int(lo * CELLS), min(int(hi * CELLS), CELLS - 1) + 1)]
         at += n
-    edges = F.broadcast(spark.createDataFrame(borders, "source string, lo double, hi double, n bigint"))
-    # Points fill the unit interval only roughly, so a source may get a few slots less than its blocks; one slot more
-    # for each source is drawn, and surplus slots are dropped by rank.
+    edges = F.broadcast(spark.createDataFrame(borders, "cell int, source string, lo double, hi double, n bigint"))
+    # Points fill the unit interval only roughly, so a source may get a few slots less than its blocks; some slots more
+    # are drawn, and surplus slots are dropped by rank.
     n_points = int(whole * 1.02) + 64 * max(1, len(rows))
-    points = spark.range(n_points).select(F.col("id").alias("point"), van_der_corput(F.col("id")).alias("u"))
-    drawn = points.join(edges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("one", F.lit(1))
-    ranked = running_total(drawn, ["source"], ["point"], F.floor(F.col("point") / 65536), "one", "block", "of")
+    points = spark.range(n_points).select(F.col("id").alias("point"), van_der_corput(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    drawn = points.join(edges, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("one", F.lit(1))
+    ranked = running_total(drawn.select("point", "source", "n", "one"), ["source"], ["point"], F.floor(F.col("point") / 65536), "one", "block", "of")
     placed = ranked.where(F.col("block") < F.col("n")).select("point", "source", "block")
-    # Blocks whose slot lies beyond the last point come at the end.
-    spare = spark.createDataFrame([(s, n) for s, n in rows if n], "source string, n bigint").select("source", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    rest = spare.join(placed.select("source", "block"), ["source", "block"], "left_anti").select((F.lit(n_points) + F.col("block")).alias("point"), "source", "block")
+    # Blocks whose slot lies beyond the last point, a few for each source at most, come at the end.
+    got = placed.groupBy("source").agg(F.count("*").alias("got"))
+    short = spark.createDataFrame([r for r in rows if r[1]], "source string, n bigint").join(got, "source", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("bigint"))).where("got < n")
+    rest = short.select("source", F.explode(F.sequence(F.col("got"), F.col("n") - 1)).alias("block")).select((F.lit(n_points) + F.col("block")).alias("point"), "source", "block")
     return placed.unionByName(rest).select(F.col("point").alias("slot"), "source", "block")
 
 
@@ -104,7 +113,8 @@ def _mixed(counted: DataFrame, weights: DataFrame, seed: int = 11) -> DataFrame:
     docs = counted.where("tokens > 0").join(use, "source")
     copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("to_use") - 1) / F.col("available")).cast("int"))))
     h = copies.withColumn("h", F.xxhash64("doc_id", "copy", F.lit(seed)))
-    laid = running_total(h, ["source", "copy"], ["h", "doc_id"], F.pmod("h", F.lit(BUCKETS)), "tokens", "before", "whole")
+    buckets = 64 + (p.agg(F.sum("n_documents")).first()[0] or 0) // BUCKET_ROWS
+    laid = running_total(h, ["source", "copy"], ["h", "doc_id"], F.pmod("h", F.lit(buckets)), "tokens", "before", "whole")
     at = (F.col("copy") * F.col("available") + F.col("before")).cast("bigint")
     blocks = laid.withColumn("at", at).where(F.col("at") < F.col("to_use")).withColumn("block", F.floor(F.col("at") / BLOCK_TOKENS).cast("bigint"))
     return blocks.select("source", "block", "doc_id", "copy", "tokens").join(schedule(p), ["source", "block"]).select("slot", "source", "block", "doc_id", "copy", "tokens")
@@ -116,5 +126,6 @@ def report(documents: DataFrame, weights: DataFrame, path: str = TOKENIZER) -> D
     p = plan(counted, weights)
     mixed = _mixed(counted, weights).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), (F.max("copy") + 1).alias("repeats"))
     out = p.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0))).withColumn("repeats", F.coalesce("repeats", F.lit(0)))
-    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
-    return out.select("source", "target_share", "max_repeats", "n_documents", "available", "wanted", "mixed_tokens", "repeats", F.round(F.try_divide(F.col("mixed_tokens"), whole), 6).alias("reached_share"), (F.col("mixed_tokens") < F.col("wanted")).alias("short"))
+    whole, every = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))), F.lit(counted.agg(F.sum("tokens")).first()[0] or 0)  # one row a source
+    share = lambda of: F.round(F.try_divide(F.col("mixed_tokens"), of), 6)
+    return out.select("source", "target_share", "max_repeats", "n_documents", "available", "wanted", "mixed_tokens", "repeats", share(every).alias("reached_share"), share(whole).alias("mixture_share"), (F.col("mixed_tokens") < F.col("wanted")).alias("short"))

@@ -189,6 +189,7 @@ def test_mixture(spark, monkeypatch):
     for s in ("big", "mid"):
         assert 0 <= rep[s]["mixed_tokens"] - rep[s]["wanted"] <= 60
     assert all(x["repeats"] <= (x["max_repeats"] or 0) for x in rep.values())
+    assert abs(rep["big"]["reached_share"] - 0.2) < 0.02 and rep["none"]["short"] and abs(sum(x["mixture_share"] for x in rep.values()) - 1) < 1e-4
     mix = mixing.mixture(docs, weights).toPandas()
     assert (mix.groupby(["doc_id", "copy"]).size() == 1).all() and set(mix.source) <= {"big", "mid", "tiny"}
     blocks = mix.drop_duplicates(["source", "block"]).sort_values("slot")
