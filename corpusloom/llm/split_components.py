@@ -9,10 +9,12 @@ through the rounds. Choosing a neighbour is a min aggregate (combined map-side);
 row per vertex, and adaptive execution splits the skewed side at a hot vertex. Each round is written to the shared
 folder, so the lineage stays one round long.
 
-The split assigns whole components. Components of more than a hundredth of all rows, of which there can be at most a
-hundred, are placed one by one where most room is left; the rest is ordered by a hash within their majority label and
-cut by cumulative weight, computed per hash bucket with the offsets of a fixed number of buckets, so no task sees all
-components.
+The split assigns whole components. Each part has room for its proportion of the rows and of the spam. Components of more
+than a hundredth of all rows, of which there can be at most a hundred, are placed one by one where most room is left for
+their majority label. The others are ordered by a hash: those with spam are cut by their cumulative spam rows at the room
+left for spam, those without fill up the rows, so the label shares agree even if one component holds most of the spam.
+Cumulative weights are computed per hash bucket with offsets, so no task sees all components. A language that a part
+lacks gets there by moving the smallest component of the part that has most components of it.
 
 Defined cases: NULL, blank and placeholder keys tie nothing; NULL group ids are ignored; repeated rows are one edge;
 groups without any key are components of their own in the split and no rows of `components`.
@@ -20,14 +22,15 @@ groups without any key are components of their own in the split and no rows of `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import running_total
 from corpusloom.runtime import cut
 
 PLACEHOLDERS = ("", "unknown", "na", "none", "null", "nan")
 HEAVY = 0.01
-BUCKETS = 256
+BUCKET_ROWS = 20_000
 SHARES = (("train", 0.64), ("validation", 0.16), ("test", 0.20))
 
 
@@ -83,32 +86,67 @@ def tied(sources: DataFrame) -> DataFrame:
     return components(sources).where("group_id > component_id")
 
 
-def splits(messages: DataFrame, sources: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, seed: int = 7) -> DataFrame:
-    """group_id, component_id, n_rows, part of every group of messages."""
+def _covered(parts: DataFrame, spoken: DataFrame, shares: tuple[tuple[str, float], ...], rounds: int = 3) -> DataFrame:
+    """parts (component_id, w, part) with every language of three components or more in every part, where spoken is
+    component_id, lang. Only counts per language and part and the components to be moved come to the driver."""
+    for _ in range(rounds):
+        here = spoken.join(parts, "component_id").groupBy("lang", "part").agg(F.count("*").alias("n"), F.min(F.struct("w", "component_id")).alias("least"))
+        table: dict[str, dict[str, tuple[int, int]]] = {}
+        for r in here.collect():
+            table.setdefault(r["lang"], {})[r["part"]] = (r["n"], r["least"]["component_id"])
+        moves = {}
+        for own in table.values():
+            for name, _share in shares:
+                giver = max(own, key=lambda k: (own[k][0], k))
+                if name not in own and own[giver][0] > 1 and sum(n for n, _ in own.values()) >= len(shares):
+                    moves.setdefault(own[giver][1], name)
+        if not moves:
+            return parts
+        to = parts.sparkSession.createDataFrame(list(moves.items()), "component_id bigint, new string")
+        parts = cut(parts.join(F.broadcast(to), "component_id", "left").select("component_id", "w", F.coalesce("new", "part").alias("part")))
+    return parts
+
+
+def splits(messages: DataFrame, sources: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, seed: int = 7, language: str = "language_column") -> DataFrame:
+    """group_id, component_id, n_rows, part of every group of messages. NULL labels count as not spam; languages are told
+    apart without case and blanks, NULL is none."""
+    spark = messages.sparkSession
     of = components(sources, seed).select("group_id", F.col("component_id").alias("known"))
-    groups = messages.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("label").cast("double")).alias("n_spam"))
+    rows = messages.where("group_id is not null")
+    groups = rows.groupBy("group_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_spam"))
     groups = cut(groups.join(of, "group_id", "left").select("group_id", "n_rows", "n_spam", F.coalesce("known", "group_id").alias("component_id")))
-    comps = cut(groups.groupBy("component_id").agg(F.sum("n_rows").alias("w"), (F.coalesce(F.sum("n_spam"), F.lit(0.0)) * 2 > F.sum("n_rows")).alias("spam")))
-    total = comps.agg(F.sum("w")).first()[0] or 0
+    comps = groups.groupBy("component_id").agg(F.sum("n_rows").alias("w"), F.sum("n_spam").alias("n_spam"))
+    comps = cut(comps.withColumn("spam", F.col("n_spam") > 0).withColumn("own", F.when(F.col("spam"), F.col("n_spam")).otherwise(F.col("w"))))
+    sums = comps.agg(F.sum("w").alias("w"), F.sum("n_spam").alias("n_spam"), F.count("*").alias("n")).first()
+    total, n_spam = sums["w"] or 0, sums["n_spam"] or 0
     heavy = comps.where(F.col("w") > HEAVY * total).orderBy(F.desc("w"), "component_id").collect()  # at most 1 / HEAVY rows
-    room = {name: share * total for name, share in shares}
+    names = [name for name, _ in shares]
+    room = {(name, kind): share * (n_spam if kind == "n_spam" else total) for name, share in shares for kind in ("w", "n_spam")}
     placed = []
     for c in heavy:
-        best = max(room, key=lambda n: (room[n], n))
-        room[best] -= c["w"]
-        placed.append((c["component_id"], best))
-    room = {n: max(0.0, x) for n, x in room.items()}
-    whole = sum(room.values()) or 1.0
-    light = comps.where(F.col("w") <= HEAVY * total).withColumn("h", F.xxhash64("component_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    offsets = light.groupBy("spam", "bucket").agg(F.sum("w").alias("bw"))  # at most 2 * BUCKETS rows
-    offsets = offsets.select("spam", "bucket", (F.sum("bw").over(Window.partitionBy("spam").orderBy("bucket")) - F.col("bw")).alias("before"), F.sum("bw").over(Window.partitionBy("spam")).alias("all"))
-    inside = Window.partitionBy("spam", "bucket").orderBy("h", "component_id")
-    at = light.withColumn("cum", F.sum("w").over(inside) - F.col("w") / 2).join(F.broadcast(offsets), ["spam", "bucket"]).withColumn("u", (F.col("before") + F.col("cum")) / F.col("all"))
-    edge, part = 0.0, None
-    for name, x in room.items():
-        edge += x / whole
-        part = F.when(F.col("u") < edge, name) if part is None else part.when(F.col("u") < edge, name)
-    light_parts = at.select("component_id", part.otherwise(shares[-1][0]).alias("part"))
-    spark = messages.sparkSession
-    parts = light_parts.unionByName(spark.createDataFrame(placed, "component_id bigint, part string"))
-    return groups.join(parts, "component_id").select("group_id", "component_id", "n_rows", "part")
+        best = max(names, key=lambda n: (room[n, "n_spam" if 2 * c["n_spam"] > c["w"] else "w"], n))
+        for kind in ("w", "n_spam"):
+            room[best, kind] -= c[kind]
+        placed.append((c["component_id"], c["w"], best))
+    light = comps.where(F.col("w") <= HEAVY * total).withColumn("h", F.xxhash64("component_id", F.lit(seed)))
+    at = running_total(light, ["spam"], ["h", "component_id"], F.pmod("h", F.lit(64 + sums["n"] // BUCKET_ROWS)), "own", "before", "all")
+    at = at.withColumn("u", (F.col("before") + F.col("own") / 2) / F.greatest(F.col("all"), F.lit(1)))
+    # Components with spam are cut at the room for spam; the others fill up the rows.
+    left = {name: max(0.0, room[name, "n_spam"]) for name in names}
+    mixed = light.where("spam").agg(F.sum("w")).first()[0] or 0
+    open_ = {name: max(0.0, room[name, "w"] - mixed * left[name] / (sum(left.values()) or 1.0)) for name in names}
+
+    def cut_at(sizes: dict[str, float]) -> Column:
+        whole, edge, out = sum(sizes.values()) or 1.0, 0.0, None
+        for name in names:
+            edge += sizes[name] / whole
+            out = F.when(F.col("u") < edge, name) if out is None else out.when(F.col("u") < edge, name)
+        return out.otherwise(max(names, key=lambda n: sizes[n]))
+
+    part = F.when(F.col("spam"), cut_at(left)).otherwise(cut_at(open_))
+    parts = cut(at.select("component_id", "w", part.alias("part")).unionByName(spark.createDataFrame(placed, "component_id bigint, w bigint, part string")))
+    if language in messages.columns:
+        spoken = rows.select("group_id", F.lower(F.trim(language)).alias("lang")).where("lang is not null").distinct()
+        spoken = spoken.join(groups.select("group_id", "component_id"), "group_id").select("component_id", "lang").distinct()
+        parts = _covered(parts, spoken, shares)
+    return groups.select("group_id", "component_id", "n_rows").join(parts.select("component_id", "part"), "component_id").select("group_id", "component_id", "n_rows", "part")

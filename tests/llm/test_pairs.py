@@ -106,6 +106,19 @@ def test_splits_keep_components_and_shares(spark):
     assert split_components.splits(msgs.limit(0), sources(spark, [])).count() == 0
 
 
+def test_splits_have_like_label_shares_and_all_languages(spark):
+    hot = [(k, 5000, 1, ("text", "text_de")[k % 2]) for k in range(500)]
+    rest = [(1000 + k, k // 3, int(k % 9 == 0), ("text", " TEXT_FR", "text_de")[k % 3]) for k in range(4500)]
+    rare = [(9000 + k, 6000 + k, 0, "text_hi") for k in range(3)] + [(9100, 7000, None, None), (9101, None, 1, "text")]
+    msgs = spark.createDataFrame([(*x, "clash") for x in hot + rest + rare], "row_index bigint, group_id bigint, label int, language_column string, part string")
+    p = split_components.splits(msgs, sources(spark, []))
+    j = msgs.drop("part").join(p, "group_id").toPandas()
+    share = j.groupby("part").label.mean()
+    assert share.max() - share.min() < 0.02
+    assert abs((j.part == "train").mean() - 0.64) < 0.03
+    assert (j.assign(lang=j.language_column.str.strip().str.lower()).groupby("lang").part.nunique() == 3).all()
+
+
 def test_look_alikes(spark):
     t = ["Café  now", "Café  now", "Саfé  now", "CAFÉ  NOW", "Cafe  now", "Ｃａｆé  now", None, None, "", "​", "Café  now", "Café now"]
     df = spark.createDataFrame([(k, x, "clash") for k, x in enumerate(t)], "row_index bigint, raw_text string, look string")
