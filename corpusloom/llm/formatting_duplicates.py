@@ -6,13 +6,14 @@ of words and standing alone removed, blanks collapsed. Child digests are sorted
 fields does not count, and hashed into the root digest. Records are grouped by root digest; a last comparison of the
 whole normalised tree with that of the keeper confirms every copy.
 
-Everything is JVM-side. The grouping is a min/count aggregate (combined map-side, so a group that holds a third of all
-rows is small after the first stage); only rows of digests that occur more than once meet in the final join, whose skew
-adaptive execution splits.
+Everything is JVM-side. All records are normalised once, to their digests. The grouping is a min/count aggregate
+(combined map-side, so a group that holds a third of all rows is small after the first stage); only records whose digest
+occurs more than once are read again for the comparison with their keeper, in a join whose skew adaptive execution
+splits. Collapsed sets are counted after that comparison.
 
 Defined cases: a NULL text belongs to no set; NULL label equals NULL, NULL dataset equals NULL; an empty text and one of
-nothing but punctuation are copies of each other; equal strings are copies; of equal record ids (not expected) both are
-kept; extra columns are ignored.
+nothing but punctuation are copies of each other; equal strings are copies; rows of equal record id (not expected) are one
+record of that id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import cut
+
 FIELDS = ("subject", "sender", "list", "body")
 FIELD_SETS = ("mail_archive",)
 
@@ -57,17 +60,25 @@ def merkle(records: DataFrame, field_sets: tuple[str, ...] = FIELD_SETS) -> Data
     return kids.select("record_id", F.concat_ws("\u0001", "head", F.array_join("kids", "\u0001")).alias("tree"), F.md5(F.concat_ws("\u0001", "head", digest)).alias("root"))
 
 
+def _confirmed(records: DataFrame, roots: DataFrame, field_sets: tuple[str, ...]) -> DataFrame:
+    """keeper_id, record_id of records whose whole tree equals that of the first record of their digest."""
+    sets = roots.groupBy("root").agg(F.min("record_id").alias("keeper_id"), F.count("*").alias("n")).where("n > 1").select("root", "keeper_id")
+    inside = roots.join(sets, "root").select("record_id", "keeper_id")
+    trees = merkle(records.select("record_id", "dataset", "label", "raw_text").join(inside.select("record_id").distinct(), "record_id", "left_semi"), field_sets).select("record_id", "tree")
+    inside = cut(inside.distinct().join(trees, "record_id"))
+    keepers = inside.where("record_id = keeper_id").select("keeper_id", F.col("tree").alias("kept"))
+    return inside.where("record_id <> keeper_id").join(keepers, "keeper_id").where("tree = kept").select("keeper_id", "record_id")
+
+
 def copies(records: DataFrame, field_sets: tuple[str, ...] = FIELD_SETS) -> DataFrame:
     """keeper_id, record_id of every copy: the found duplicates."""
-    trees = merkle(records, field_sets).select("record_id", "root", F.xxhash64("tree").alias("shape"), "tree")
-    sets = trees.groupBy("root").agg(F.min("record_id").alias("keeper_id"), F.count("*").alias("n")).where("n > 1").select("root", "keeper_id")
-    inside = trees.join(sets, "root")
-    keepers = inside.where("record_id = keeper_id").select(F.col("root").alias("of"), F.col("tree").alias("kept"), F.col("keeper_id").alias("kept_id"))
-    others = inside.where("record_id <> keeper_id")
-    same = others.join(keepers, (F.col("root") == F.col("of")) & (F.col("tree") == F.col("kept")))
-    return same.select("keeper_id", "record_id")
+    return _confirmed(records, cut(merkle(records, field_sets).select("record_id", "root")), field_sets)
 
 
 def collapsed(records: DataFrame, field_sets: tuple[str, ...] = FIELD_SETS) -> DataFrame:
-    """One row per distinct record: its smallest record_id, its digest and the number of its copies."""
-    return merkle(records, field_sets).groupBy("root").agg(F.min("record_id").alias("keeper_id"), F.count("*").alias("n_copies")).select("keeper_id", "root", "n_copies")
+    """One row per distinct record: its smallest record_id, its digest and the number of its copies, itself included."""
+    roots = cut(merkle(records, field_sets).select("record_id", "root"))
+    found = cut(_confirmed(records, roots, field_sets))
+    n = found.groupBy("keeper_id").agg(F.count("*").alias("n"))
+    kept = roots.join(found.select("record_id"), "record_id", "left_anti").withColumnRenamed("record_id", "keeper_id")
+    return kept.join(n, "keeper_id", "left").select("keeper_id", "root", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))

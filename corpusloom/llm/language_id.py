@@ -38,6 +38,7 @@ SAMPLE_CHARS = 4000
 MIN_WORDS = 5
 MIN_CONFIDENCE = 0.8
 ORDER = 4
+BITS = 16  # of a letter in a packed n-gram
 _SENTENCE = re.compile(r"(?<=[.!?।])\s+|\n+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MARKS = {c: None for c in range(0x300, 0x370)}
@@ -86,10 +87,10 @@ def _ids(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _packed(ids: np.ndarray, k: int) -> np.ndarray:
-    """The k-gram that ends at each place, as an integer of k bytes."""
+    """The k-gram that ends at each place, as an integer of k times BITS bits."""
     out = ids.copy()
     for j in range(1, k):
-        out[j:] |= ids[:-j] << np.uint64(8 * j)
+        out[j:] |= ids[:-j] << np.uint64(BITS * j)
     return out
 
 
@@ -97,24 +98,24 @@ def fit(texts: list[list[str]], order: int) -> Models:
     """Kneser-Ney tables from the sentences of each language."""
     every = np.frombuffer("".join(t for ts in texts for t in ts).encode("utf-32-le", "replace"), dtype=np.uint32)
     seen, times = np.unique(every, return_counts=True)
-    letters = np.sort(seen[np.argsort(-times, kind="stable")[:254]])
+    letters = np.sort(seen[np.argsort(-times, kind="stable")[: (1 << BITS) - 2]])
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for ts in texts:
         ids, begin = _ids(ts or [" "], letters)
         place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
         top = [np.unique(_packed(ids, order)[place >= order - 1], return_counts=True)]
         for k in range(order - 1, 0, -1):  # lower orders: how many different letters precede
-            top.append(np.unique(top[-1][0] & np.uint64((1 << (8 * k)) - 1), return_counts=True))
+            top.append(np.unique(top[-1][0] & np.uint64((1 << (BITS * k)) - 1), return_counts=True))
         counts.append(top[::-1])
     n = len(texts)
     keys, logp, contexts, weights = [], [], [], []
     for k in range(1, order + 1):
         joint = np.unique(np.concatenate([c[k - 1][0] for c in counts]))
-        ctx = np.unique(joint >> np.uint64(8))
+        ctx = np.unique(joint >> np.uint64(BITS))
         p, lam = np.zeros((len(joint), n)), np.ones((len(ctx), n))
-        of_ctx = np.searchsorted(ctx, joint >> np.uint64(8))
+        of_ctx = np.searchsorted(ctx, joint >> np.uint64(BITS))
         if k > 1:
-            lower = np.searchsorted(keys[-1], joint & np.uint64((1 << (8 * (k - 1))) - 1))
+            lower = np.searchsorted(keys[-1], joint & np.uint64((1 << (BITS * (k - 1))) - 1))
             below = np.exp(logp[-1][np.minimum(lower, len(keys[-1]) - 1)].astype(float))
         for j, c in enumerate(counts):
             own, times = c[k - 1]
@@ -147,7 +148,7 @@ def cross_entropy(m: Models, texts: list[str]) -> np.ndarray:
     grams = _packed(ids, order)
     open_at, extra = np.arange(len(ids)), None
     for k in range(order, 0, -1):
-        mask = np.uint64((1 << (8 * k)) - 1)
+        mask = np.uint64((1 << (BITS * k)) - 1)
         usable = place[open_at] >= k - 1
         g = grams[open_at] & mask
         at, hit = _find(m.keys[k - 1], g)
@@ -159,7 +160,7 @@ def cross_entropy(m: Models, texts: list[str]) -> np.ndarray:
         open_at, g, usable = open_at[miss], g[miss], usable[miss]
         extra = np.zeros((len(open_at), out.shape[1]), dtype=np.float32) if extra is None else extra[miss]
         if k > 1:
-            at, known = _find(m.contexts[k - 1], g >> np.uint64(8))
+            at, known = _find(m.contexts[k - 1], g >> np.uint64(BITS))
             known &= usable
             extra[known] += m.weights[k - 1][at[known]]
         else:
@@ -180,10 +181,14 @@ def train(rows: list[tuple[str, str]]) -> Models:
     odd = np.arange(len(s)) % 5 == 0  # held out of the fit to calibrate
     h = cross_entropy(m := fit(of(keep & ~odd), ORDER), texts)
     long, size = np.array([x[2] >= MIN_WORDS for x in s]), np.array([len(t) for t in texts])
+    held = np.flatnonzero(odd & keep & long)
     for j in range(len(LANGUAGES)):
-        x = h[odd & keep & long & (own == j), j]
-        if len(x) >= 20:
-            m.limit[j] = x.mean() + 5 * x.std() + 0.1
+        # A language with few sentences leans on those of all languages, the more so the fewer it has.
+        x, every = h[held[own[held] == j], j], h[held, own[held]]
+        if len(every):
+            lean = 20 / (20 + len(x))
+            mean = lambda f, x=x, every=every, lean=lean: lean * f(every) + (1 - lean) * (f(x) if len(x) else 0.0)
+            m.limit[j] = mean(np.mean) + 5 * mean(np.std) + 0.1
     test = odd & keep
     if test.any():
         def loss(a: float) -> float:

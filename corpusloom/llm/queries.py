@@ -33,6 +33,10 @@ def p3_found(spark, d):
     return confusables.look_alikes(table(spark, d, "long_messages"))
 
 
+def p3_classes(spark, d):
+    return confusables.classes(table(spark, d, "long_messages"))
+
+
 def p3_form(spark, d):
     return confusables.consistent_form(table(spark, d, "long_messages").select("row_index", "raw_text"), "raw_text").select("row_index", "skeleton")
 

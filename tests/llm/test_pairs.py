@@ -126,6 +126,7 @@ def test_look_alikes(spark):
     want = sorted([(a, b) for a in same for b in same if a < b and t[a] != t[b]] + [(8, 9)])
     assert rows(confusables.look_alikes(df)) == want
     assert rows(confusables.look_alikes(df.limit(0))) == []
+    assert rows(confusables.classes(df)) == sorted([(0, min(b for b in same if t[b] == t[a]), a) for a in same] + [(8, 8, 8), (8, 9, 9)])
     assert confusables.skeleton("𝐭𝐞 ﬁ Μοѕсоw") == "te fi Moscow" and len(confusables.skeleton("é" * 100_000)) == 200_000
 
 

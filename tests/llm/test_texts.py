@@ -52,7 +52,7 @@ def test_language_models_are_distributions():
     for k in range(3):
         for j in range(2):
             by_context = {}
-            for key, p in zip(m.keys[k] >> np.uint64(8), np.exp(m.logp[k][:, j])):
+            for key, p in zip(m.keys[k] >> np.uint64(language_id.BITS), np.exp(m.logp[k][:, j])):
                 by_context[int(key)] = by_context.get(int(key), 0) + p
             assert all(x <= 1 + 1e-5 for x in by_context.values())
     assert language_id.train([]) is not None
