@@ -20,9 +20,9 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in s], dtype=object)
 
 
-def clean_text(text: Column, normalize: bool = False) -> Column:
-    """Lower case; tags, links, @ and # tokens, words with digits and everything but letters removed; words of one
-    character dropped. Stays in the JVM unless full compatibility composition is asked for."""
+def clean_text(text: Column, normalize: bool = True) -> Column:
+    """Lower case and compatibility composition; tags, links, @ and # tokens, words with digits and everything but letters
+    removed; words of one character dropped. All but the composition, which skips ASCII, stays in the JVM."""
     t = F.lower(text)
     t = nfkc(t) if normalize else t
     for pattern in ("<.*?>", r"http\S+|www\.\S+", rf"[@#]{_W}+", rf"{_W}*\p{{Nd}}{_W}*", r"[^\p{L}\s]"):
@@ -102,27 +102,38 @@ def chance(row: Column, place: Column, seed: int) -> Column:
 
 
 def _changed(text: Column, row: Column, seed: int, rate: float, fits, change) -> Column:
-    each = F.transform(words(text), lambda w, i: F.when(fits(w) & (chance(row.cast("bigint"), i.cast("bigint"), seed) < rate), change(w)).otherwise(w))
+    draw = lambda i, k: chance(row.cast("bigint"), i.cast("bigint") + k, seed)
+    each = F.transform(words(text), lambda w, i: F.when(fits(w) & (draw(i, 0) < rate), change(w, draw(i, 1_000_003))).otherwise(w))
     return F.array_join(each, " ")
 
 
 def swap_characters(text: Column, row: Column, seed: int = 42, rate: float = 0.35) -> Column:
-    """Two inner neighbours of words of five letters or more change places."""
-    mid = lambda w: F.floor(F.length(w) / 2).cast("int")
+    """Two inner neighbours of words of five letters or more change places; which ones is drawn."""
     part = lambda w, a, n: F.substring(w, a, n)
-    turn = lambda w: F.concat(part(w, F.lit(1), mid(w) - 1), part(w, mid(w) + 1, F.lit(1)), part(w, mid(w), F.lit(1)), part(w, mid(w) + 2, F.length(w)))
+
+    def turn(w: Column, u: Column) -> Column:
+        at = (F.floor(u * (F.length(w) - 3)) + 2).cast("int")  # the first of the two, counted from 1
+        return F.concat(part(w, F.lit(1), at - 1), part(w, at + 1, F.lit(1)), part(w, at, F.lit(1)), part(w, at + 2, F.length(w)))
+
     return _changed(text, row, seed, rate, lambda w: (F.length(w) >= 5) & w.rlike(r"^\p{L}+$"), turn)
 
 
 def insert_spaces(text: Column, row: Column, seed: int = 42, rate: float = 0.35) -> Column:
-    """A blank in the middle of words of six characters or more."""
-    mid = lambda w: F.floor(F.length(w) / 2).cast("int")
-    return _changed(text, row, seed, rate, lambda w: F.length(w) >= 6, lambda w: F.concat(F.substring(w, F.lit(1), mid(w)), F.lit(" "), F.substring(w, mid(w) + 1, F.length(w))))
+    """A blank at a drawn place inside words of six letters or more, two letters from the ends at least."""
+
+    def part(w: Column, u: Column) -> Column:
+        at = (F.floor(u * (F.length(w) - 4)) + 2).cast("int")
+        return F.concat(F.substring(w, F.lit(1), at), F.lit(" "), F.substring(w, at + 1, F.length(w)))
+
+    return _changed(text, row, seed, rate, lambda w: (F.length(w) >= 6) & w.rlike(r"^\p{L}+$"), part)
 
 
 def leetspeak(text: Column, row: Column, seed: int = 42, rate: float = 0.35) -> Column:
-    return _changed(text, row, seed, rate, lambda w: F.length(w) >= 1, lambda w: F.translate(w, "aeios", "43105"))
+    return _changed(text, row, seed, rate, lambda w: F.length(w) >= 1, lambda w, u: F.translate(w, "aeios", "43105"))
 
 
 def vary_urls(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("http"), F.lit("hxxp")), F.lit("."), F.lit(" dot "))
+    """Links only: words that hold http, www or .com; blanks are collapsed."""
+    link = lambda w: w.contains("http") | w.contains("www") | w.contains(".com")
+    change = lambda w: F.replace(F.replace(w, F.lit("http"), F.lit("hxxp")), F.lit("."), F.lit(" dot "))
+    return F.array_join(F.transform(words(text), lambda w: F.when(link(w), change(w)).otherwise(w)), " ")

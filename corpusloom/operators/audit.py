@@ -18,19 +18,35 @@ from corpusloom.operators.ingest import keep_first
 BITS, BANDS, HAMMING, NEAR = 64, 4, 12, 0.90
 
 
-def _simhash(text: str) -> int:
-    padded = "  " + text.replace(" ", "_") + "  "
-    grams = {padded[k : k + 4] for k in range(max(1, len(padded) - 3))}
-    raw = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
-    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones >= len(grams)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit similarity hashes over the sets of 4-grams of texts (blanks as _, two blanks at either end): bit b is set if
+    at least half of the 64-bit digests have it. Works on the letters of all texts at once; each distinct gram of the
+    batch is digested once, and every text adds up the bit rows of its own grams."""
+    framed = [f"  {t.replace(' ', '_')}  " for t in texts]
+    sizes = np.array([len(t) for t in framed], dtype=np.int64)
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.flatnonzero(of[3:] == of[:-3]) if len(codes) > 3 else np.zeros(0, dtype=np.int64)
+    grams = np.lib.stride_tricks.sliding_window_view(codes, 4)[whole]
+    kinds, number = np.unique(np.ascontiguousarray(grams).view("V16").ravel(), return_inverse=True)
+    digests = b"".join(hashlib.blake2b(k.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), digest_size=8).digest() for k in kinds)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+    pairs = np.unique(of[whole] * max(1, len(kinds)) + number)
+    owner = pairs // max(1, len(kinds))
+    many = np.bincount(owner, minlength=len(texts))
+    ones = np.add.reduceat(bits[pairs % max(1, len(kinds))], np.cumsum(many) - many, axis=0)
+    return np.packbits(2 * ones >= many[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
 @F.pandas_udf(T.LongType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-bit similarity hash over the set of 4-grams."""
+    """64-bit similarity hash of each text, NULL for NULL."""
     for s in texts:
-        yield pd.Series([None if t is None else _simhash(t) for t in s], dtype="Int64")
+        known = s.notna()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        if known.any():
+            out[known] = simhashes(s[known].tolist())
+        yield out
 
 
 @F.pandas_udf(T.DoubleType())

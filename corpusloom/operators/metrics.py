@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import running_total
+
 
 def confusion(df: DataFrame, by: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
     """tn, fp, fn, tp per group: one map-side combined aggregate."""
@@ -67,23 +69,42 @@ def calibration_error(df: DataFrame, by: list[str], bins: int = 15) -> DataFrame
     return c.groupBy(*by).agg(F.round(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("observed"))) / F.sum("n"), 6).alias("ece"))
 
 
-def auc(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rank-sum area under the curve with average ties. Probabilities are first counted per distinct value, so the
-    window runs over values instead of rows."""
+_RANGES = 1024
+
+
+def _above(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, probability, n, pos of each distinct probability, with the rows and positives above it and in all. Running
+    totals over ranges of probability, so no task orders all values."""
     v = df.groupBy(*by, "probability").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    w = Window.partitionBy(*by).orderBy("probability").rowsBetween(Window.unboundedPreceding, 0)
-    r = v.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
-    a = r.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("all"))
-    p, n = F.col("p").cast("double"), (F.col("all") - F.col("p")).cast("double")
-    return a.select(*by, F.round(F.when((p > 0) & (n > 0), (F.col("s") - p * (p + 1) / 2) / (p * n)), 6).alias("auc"))
+    bucket = F.floor((1 - F.col("probability")) * _RANGES)
+    out = running_total(v, by, [F.desc("probability")], bucket, "n", "n_above", "all")
+    return running_total(out, by, [F.desc("probability")], bucket, "pos", "pos_above", "all_pos")
+
+
+def auc(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rank-sum area under the curve with average ties: each positive beats the negatives below it, and half of those that
+    it ties with."""
+    v = _above(df, by)
+    below = F.col("all") - F.col("all_pos") - (F.col("n_above") - F.col("pos_above")) - (F.col("n") - F.col("pos"))
+    won = F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)
+    a = v.groupBy(*by).agg(F.sum(won).alias("won"), F.max("all_pos").cast("double").alias("p"), F.max("all").cast("double").alias("n"))
+    pairs = F.col("p") * (F.col("n") - F.col("p"))
+    return a.select(*by, F.round(F.when(pairs > 0, F.col("won") / pairs), 6).alias("auc"))
 
 
 def best_threshold(df: DataFrame, by: list[str]) -> DataFrame:
-    """The threshold of the highest coefficient of correlation; ties go to the one closest to 0.5, then the smaller."""
-    v = df.groupBy(*by, "probability").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    w = Window.partitionBy(*by).orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    s = v.select(*by, F.col("probability").alias("threshold"), F.sum("pos").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("pos").over(w)).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("all"))
-    s = s.withColumn("fn", F.col("p") - F.col("tp")).withColumn("tn", F.col("all") - F.col("p") - F.col("fp")).withColumn("mcc", scores(digits=9)["mcc"])
-    order = Window.partitionBy(*by).orderBy(F.desc("mcc"), F.abs(F.col("threshold") - 0.5), "threshold")
-    return s.withColumn("k", F.row_number().over(order)).where("k = 1").select(*by, "threshold", F.round("mcc", 6).alias("mcc"))
+    """The threshold of the highest coefficient of correlation (-1 where it has no denominator). Of those within a relative
+    tolerance of 1e-5 the closest to 0.5 wins, then the larger."""
+    s = _above(df, by).withColumnRenamed("probability", "threshold")
+    tp, p, n = (F.col("pos_above") + F.col("pos")).cast("double"), F.col("all_pos").cast("double"), F.col("all").cast("double")
+    fp = F.col("n_above") + F.col("n") - tp
+    fn, tn = p - tp, n - p - fp
+    below = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    s = s.select(*by, "threshold", F.when(below > 0, (tp * tn - fp * fn) / below).otherwise(-1.0).alias("mcc"))
+    top = s.groupBy(*by).agg(F.max("mcc").alias("top"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    near = s.alias("s").join(top.alias("t"), same).where(F.col("mcc") >= F.col("top") - 1e-12 - 1e-5 * F.abs("top"))
+    best = near.groupBy(*(F.col(f"s.{c}") for c in by)).agg(F.min_by(F.struct("threshold", "mcc"), F.struct(F.abs(F.col("threshold") - 0.5), -F.col("threshold"))).alias("b"))
+    return best.select(*by, "b.threshold", F.round("b.mcc", 6).alias("mcc"))

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import audit
 from corpusloom.plans.base import messages, query
-from corpusloom.plans.text import clean_sql
 from corpusloom.runtime import table
 
-_EXT = f"""ext AS (SELECT record_id, dataset, label, raw_text, {clean_sql('raw_text')} AS clean, regexp_replace(replace(lower(raw_text), 'ß', 'ss'), '\\s+', ' ', 'g') AS ekey FROM (SELECT record_id, dataset, label, regexp_replace(coalesce(raw_text, ''), '^\\s+|\\s+$', '', 'g') AS raw_text FROM external_audited)),
+_EXT = f"""ext AS (SELECT record_id, dataset, label, raw_text, clean, regexp_replace(replace(lower(raw_text), 'ß', 'ss'), '\\s+', ' ', 'g') AS ekey FROM (SELECT record_id, dataset, label, coalesce(clean_text, '') AS clean, regexp_replace(coalesce(raw_text, ''), '^\\s+|\\s+$', '', 'g') AS raw_text FROM external_audited)),
     conf AS (SELECT dataset, ekey, count(*) AS rows FROM ext GROUP BY ALL HAVING count(DISTINCT label) > 1),
     kept AS (SELECT ext.* FROM ext ANTI JOIN conf USING (dataset, ekey) WHERE clean <> '' QUALIFY row_number() OVER (PARTITION BY dataset, ekey, label ORDER BY record_id) = 1)"""
 
@@ -47,10 +46,12 @@ def f18_simhash(spark, d):
     return messages(spark, d).where("clean_text is not null").select("row_index", audit.simhash("clean_text").alias("hash"))
 
 
-@query("SELECT a.row_index AS a, bit_count(xor(a.row_index * 2654435761, b.row_index * 40503))::INT AS distance FROM long_messages a JOIN fold_split b USING (row_index)")
+@query()
 def f19_hamming_distance(spark, d):
-    j = table(spark, d, "long_messages").join(table(spark, d, "fold_split"), "row_index")
-    return j.select(F.col("row_index").alias("a"), F.bit_count((F.col("row_index") * 2654435761).bitwiseXOR(F.col("row_index") * 40503)).cast("int").alias("distance"))
+    """Bits by which the similarity hashes of each message and the first message of its group differ."""
+    h = messages(spark, d).where("clean_text is not null and group_id is not null").select("row_index", "group_id", audit.simhash("clean_text").alias("hash"))
+    first = h.groupBy("group_id").agg(F.min_by("hash", "row_index").alias("other"))
+    return h.join(first, "group_id").select("row_index", F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).cast("int").alias("distance"))
 
 
 @query()

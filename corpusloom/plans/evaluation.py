@@ -27,9 +27,9 @@ def a9_confusion_counts(spark, d):
     return metrics.confusion(predictions(spark, d), [*BY, "fold"])
 
 
-@query(f"WITH {PRED} SELECT group_id, {CONFUSION.replace('::DOUBLE', '::BIGINT')} FROM pred WHERE configuration = 'config_1' GROUP BY ALL")
+@query(f"WITH {PRED} SELECT configuration, group_id, {CONFUSION.replace('::DOUBLE', '::BIGINT')} FROM pred GROUP BY ALL")
 def d11_group_confusion(spark, d):
-    return metrics.confusion(predictions(spark, d).where("configuration = 'config_1'"), ["group_id"])
+    return metrics.confusion(predictions(spark, d), ["configuration", "group_id"])
 
 
 @query(f"""WITH {PRED}, {_COUNTS} SELECT configuration, seed, round(100 * tn / (tn + fp), 6) AS tn_percent, round(100 * fp / (tn + fp), 6) AS false_positive_percent, round(100 * fn / (fn + tp), 6) AS false_negative_percent, round(100 * tp / (fn + tp), 6) AS tp_percent FROM counts""")
@@ -76,8 +76,8 @@ def e8_metrics_and_confusion(spark, d):
 
 @query(f"""WITH {PRED}, v AS (SELECT configuration, seed, probability AS threshold, count(*) AS n, sum(label) AS pos FROM pred GROUP BY ALL),
     s AS (SELECT configuration, seed, threshold, (sum(pos) OVER w)::DOUBLE AS tp, (sum(n) OVER w - sum(pos) OVER w)::DOUBLE AS fp, (sum(pos) OVER p)::DOUBLE AS pp, (sum(n) OVER p)::DOUBLE AS al FROM v WINDOW w AS (PARTITION BY configuration, seed ORDER BY threshold DESC), p AS (PARTITION BY configuration, seed)),
-    t AS (SELECT *, pp - tp AS fn, al - pp - fp AS tn FROM s), m AS (SELECT configuration, seed, threshold, round({MCC}, 9) AS mcc FROM t)
-    SELECT configuration, seed, threshold, round(mcc, 6) AS mcc FROM m QUALIFY row_number() OVER (PARTITION BY configuration, seed ORDER BY mcc DESC, abs(threshold - 0.5), threshold) = 1""")
+    t AS (SELECT *, pp - tp AS fn, al - pp - fp AS tn FROM s), m AS (SELECT configuration, seed, threshold, coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), -1) AS mcc FROM t),
+    n AS (SELECT *, max(mcc) OVER (PARTITION BY configuration, seed) AS top FROM m) SELECT configuration, seed, threshold, round(mcc, 6) AS mcc FROM n WHERE mcc >= top - 1e-12 - 1e-5 * abs(top) QUALIFY row_number() OVER (PARTITION BY configuration, seed ORDER BY abs(threshold - 0.5), threshold DESC) = 1""")
 def e9_w7_best_threshold(spark, d):
     return metrics.best_threshold(predictions(spark, d), BY)
 

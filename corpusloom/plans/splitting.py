@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ingest, splits
 from corpusloom.plans.base import MSG, PARTED, messages, parted, query
-from corpusloom.plans.text import clean_sql
 from corpusloom.runtime import table
 
-LANGS = ["text", "text_de", "text_fr", "text_es"]
+LANGS = ["text", "text_de", "text_fr", "text_es", "text_pt", "text_tr", "text_ru", "text_hi"]
 _P = "2147483647"
 
 
@@ -34,13 +33,9 @@ def proj_p1_unpivot(spark, d):
 
 
 @query(f"""WITH {_LONG}, kept AS (SELECT *, row_number() OVER (PARTITION BY labels, raw_text ORDER BY column_place, group_id) AS k FROM placed WHERE raw_text IS NOT NULL)
-    SELECT row_number() OVER (ORDER BY column_place, group_id) - 1 AS row_index, group_id, language_column, (labels <> 'ham')::TINYINT AS label, length({clean_sql("regexp_replace(raw_text, '[^ -~]', 'x', 'g')")})::BIGINT AS cleaned FROM kept WHERE k = 1""")
+    SELECT row_number() OVER (ORDER BY column_place, group_id) - 1 AS row_index, group_id, language_column, (labels <> 'ham')::TINYINT AS label, md5(c.clean_text) AS cleaned FROM kept JOIN (SELECT DISTINCT raw_text, clean_text FROM long_messages) c USING (raw_text) WHERE k = 1""")
 def d2_load_long(spark, d):
-    wide = _wide(spark, d)
-    ascii_only = wide.select("group_id", "labels", *(F.regexp_replace(c, "[^ -~]", "x").alias(c) for c in LANGS))
-    a = ingest.load_long(wide)
-    lengths = ingest.melt(ascii_only).select("group_id", "language_column", F.length(ingest.clean_text(F.col("raw_text"))).cast("bigint").alias("cleaned"))
-    return a.join(lengths, ["group_id", "language_column"]).select("row_index", "group_id", "language_column", "label", "cleaned")
+    return ingest.load_long(_wide(spark, d)).select("row_index", "group_id", "language_column", "label", F.md5("clean_text").alias("cleaned"))
 
 
 @query(f"WITH {MSG} SELECT min(row_index) AS row_index, labels, md5(raw_text) AS digest FROM msg GROUP BY labels, raw_text")
@@ -126,6 +121,10 @@ def u4_groups_only_in_train(spark, d):
     return p.where("part = 'train' and group_id is not null").select("group_id").subtract(p.where("part = 'test'").select("group_id"))
 
 
-@query("SELECT count(*) AS missing FROM (SELECT row_index FROM fold_split EXCEPT SELECT row_index FROM long_messages)")
+@query("""WITH s AS (SELECT DISTINCT row_index FROM fold_split), m AS (SELECT DISTINCT row_index FROM long_messages), x AS (SELECT (SELECT count(*) FROM (FROM s EXCEPT FROM m)) AS missing, (SELECT count(*) FROM (FROM m EXCEPT FROM s)) AS surplus) SELECT missing, surplus, missing + surplus = 0 AS equal FROM x""")
 def u5_set_equality(spark, d):
-    return table(spark, d, "fold_split").select("row_index").subtract(table(spark, d, "long_messages").select("row_index")).agg(F.count("*").alias("missing"))
+    """Keys of the splits that no message has, keys of messages without a split row, and whether the two sets are equal."""
+    key = lambda n, c: table(spark, d, n).select("row_index").distinct().withColumn(c, F.lit(1))
+    both = key("fold_split", "s").join(key("long_messages", "m"), "row_index", "full")
+    n = both.agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("surplus"))
+    return n.withColumn("equal", F.col("missing") + F.col("surplus") == 0)

@@ -23,14 +23,14 @@ WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <>
 TEXT = "txt AS (SELECT row_index, label, language_column, clean_text, part FROM parted WHERE clean_text IS NOT NULL)"
 
 
-@query(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents WHERE text IS NOT NULL")
+@query(f"WITH {MSG} SELECT row_index, clean_text AS cleaned FROM msg")
 def f1_clean_text(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return messages(spark, d).select("row_index", T.clean_text(F.col("raw_text")).alias("cleaned"))
 
 
-@query()
-def f1_clean_text_normalized(spark, d):
-    return messages(spark, d).select("row_index", T.clean_text(F.col("raw_text"), normalize=True).alias("cleaned"))
+@query(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents WHERE text IS NOT NULL")
+def f1_clean_documents(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.clean_text(F.col("text"), normalize=False).alias("cleaned"))
 
 
 @query("SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g') AS exact_key FROM documents WHERE text IS NOT NULL")
@@ -68,7 +68,7 @@ def _chance_sql(row: str, place: str, seed: int = 42) -> str:
 def _perturbed(fits: str, change: str) -> str:
     w = "string_split_regex(clean_text, '\\s+')"
     return f"""WITH {PARTED}, w AS (SELECT row_index, generate_subscripts({w}, 1) - 1 AS i, unnest({w}) AS w FROM parted WHERE clean_text IS NOT NULL AND clean_text <> ''),
-    c AS (SELECT row_index, i, w, {_chance_sql('row_index', 'i')} AS u FROM w)
+    c AS (SELECT row_index, i, w, {_chance_sql('row_index', 'i')} AS u, {_chance_sql('row_index', '(i + 1000003)')} AS v FROM w)
     SELECT row_index, string_agg(CASE WHEN {fits} AND u < 0.35 THEN {change} ELSE w END, ' ' ORDER BY i) AS changed FROM c GROUP BY row_index"""
 
 
@@ -76,12 +76,12 @@ def _changed(spark, d, f):
     return parted(spark, d).where("clean_text is not null and clean_text <> ''").select("row_index", f(F.col("clean_text"), F.col("row_index")).alias("changed"))
 
 
-@query(_perturbed("length(w) >= 5 AND regexp_full_match(w, '\\p{L}+')", "substr(w, 1, length(w) // 2 - 1) || substr(w, length(w) // 2 + 1, 1) || substr(w, length(w) // 2, 1) || substr(w, length(w) // 2 + 2)"))
+@query(_perturbed("length(w) >= 5 AND regexp_full_match(w, '\\p{L}+')", "substr(w, 1, floor(v * (length(w) - 3))::INT + 1) || substr(w, floor(v * (length(w) - 3))::INT + 3, 1) || substr(w, floor(v * (length(w) - 3))::INT + 2, 1) || substr(w, floor(v * (length(w) - 3))::INT + 4)"))
 def f7_character_swap(spark, d):
     return _changed(spark, d, T.swap_characters)
 
 
-@query(_perturbed("length(w) >= 6", "substr(w, 1, length(w) // 2) || ' ' || substr(w, length(w) // 2 + 1)"))
+@query(_perturbed("length(w) >= 6 AND regexp_full_match(w, '\\p{L}+')", "substr(w, 1, floor(v * (length(w) - 4))::INT + 2) || ' ' || substr(w, floor(v * (length(w) - 4))::INT + 3)"))
 def f8_space_insertion(spark, d):
     return _changed(spark, d, T.insert_spaces)
 
@@ -91,17 +91,17 @@ def f9_leetspeak(spark, d):
     return _changed(spark, d, T.leetspeak)
 
 
-@query(f"WITH {MSG} SELECT row_index, replace(replace(raw_text, 'http', 'hxxp'), '.', ' dot ') AS changed FROM msg")
+@query(f"WITH {MSG} SELECT row_index, array_to_string(list_transform({WORDS('raw_text')}, lambda w: CASE WHEN contains(w, 'http') OR contains(w, 'www') OR contains(w, '.com') THEN replace(replace(w, 'http', 'hxxp'), '.', ' dot ') ELSE w END), ' ') AS changed FROM msg")
 def f10_url_variation(spark, d):
     return messages(spark, d).select("row_index", T.vary_urls(F.col("raw_text")).alias("changed"))
 
 
-@query(f"""WITH {PARTED}, {TEXT}, w AS (SELECT DISTINCT unnest({WORDS('clean_text')}) AS w FROM txt), p AS (SELECT ' ' || w || ' ' AS p FROM w),
+@query(f"""WITH {PARTED}, {TEXT}, w AS (SELECT unnest({WORDS('clean_text')}) AS w FROM txt), p AS (SELECT ' ' || w || ' ' AS p FROM w),
     g AS (SELECT unnest(list_concat(list_concat(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i, 4))), list_transform(range(1, greatest(length(p) - 3, 1)), lambda i: substr(p, i, 5)))) AS gram FROM p)
     SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def f12_character_ngrams(spark, d):
-    w = parted(spark, d).where("clean_text is not null").select(F.explode(T.words(F.col("clean_text"))).alias("w")).distinct()
-    return w.select(F.explode(T.char_ngrams(F.col("w"), 3, 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    w = parted(spark, d).where("clean_text is not null").select(F.explode(T.words(F.col("clean_text"))).alias("w")).groupBy("w").agg(F.count("*").alias("times"))
+    return w.select("times", F.explode(T.char_ngrams(F.col("w"), 3, 5)).alias("gram")).groupBy("gram").agg(F.sum("times").alias("n"))
 
 
 @query(f"""WITH {PARTED}, {TEXT}, w AS (SELECT row_index, list_filter(string_split_regex(clean_text, '\\s+'), lambda w: length(w) >= 2) AS w FROM txt),
@@ -111,12 +111,12 @@ def f12_word_ngrams(spark, d):
 
 
 @query(f"""WITH {PARTED}, {TEXT}, o AS (SELECT row_index, unnest({WORDS('clean_text')}) AS term FROM txt), tf AS (SELECT row_index, term, count(*) AS tf FROM o GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1000), n AS (SELECT count(*) AS n FROM txt),
+    df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 75000), n AS (SELECT count(*) AS n FROM txt),
     x AS (SELECT row_index, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN df USING (term), n), nn AS (SELECT row_index, sqrt(sum(v * v)) AS norm FROM x GROUP BY row_index)
     SELECT row_index, term, round(v / norm, 6) AS w FROM x JOIN nn USING (row_index)""")
 def f13_tfidf(spark, d):
     t = parted(spark, d).where("clean_text is not null")
-    return lexical.tfidf(t, T.words(F.col("clean_text")), min_df=2, top=1000).select("row_index", "term", F.round("w", 6).alias("w"))
+    return lexical.tfidf(t, T.words(F.col("clean_text")), min_df=2, top=75_000).select("row_index", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {MSG} SELECT row_index, sha256(raw_text) AS digest FROM msg")
@@ -131,10 +131,10 @@ def f21_number_formats(spark, d):
     return g.select("n_nationkey", "n", F.format_string("%.2f", "m").alias("mean"), F.format_number(F.col("n") * 12345, 0).alias("thousands"))
 
 
-@query("SELECT line_id, try_cast(string_split(raw_text, ';')[1] AS DOUBLE) AS grp FROM external_raw WHERE dataset = 'bosphor_sms' AND raw_text IS NOT NULL AND regexp_matches(raw_text, '^[0-9a-zA-Z]*;')")
+@query("SELECT line_id, try_cast(regexp_extract(raw_text, '^([0-9]+)(;|$)', 1) AS DOUBLE) AS grp FROM external_raw WHERE dataset = 'bosphor_sms' AND raw_text IS NOT NULL")
 def f22_coerced_number(spark, d):
-    r = table(spark, d, "external_raw").where(F.col("raw_text").isNotNull() & (F.col("dataset") == "bosphor_sms") & F.col("raw_text").rlike("^[0-9a-zA-Z]*;"))
-    return r.select("line_id", F.split("raw_text", ";")[0].try_cast("double").alias("grp"))
+    r = table(spark, d, "external_raw").where(F.col("raw_text").isNotNull() & (F.col("dataset") == "bosphor_sms"))
+    return r.select("line_id", F.regexp_extract("raw_text", "^([0-9]+)(;|$)", 1).try_cast("double").alias("grp"))
 
 
 @query("SELECT line_id, regexp_extract(source_record, '^([^:]*):', 1) AS stem, contains(source_record, 'clip') AS is_clip FROM external_raw")

@@ -70,10 +70,10 @@ _GA, _GB = [((k * 37) % 11 - 5) / 20 for k in range(32)], [((k * 23) % 13 - 6) /
 
 
 @query(f"""WITH {_TAB}, {_ALIGN('ta')}, {_ALIGN('tb')}, j AS (SELECT a.idx, a.vec AS va, b.vec AS vb, list_concat(a.vec, b.vec) AS ab FROM tal a JOIN tbl b ON a.idx = b.idx),
-    g AS (SELECT *, list_sum(list_transform(range(1, 33), lambda i: ab[i] * {_GA}[i])) + 0.3 AS la, list_sum(list_transform(range(1, 33), lambda i: ab[i] * {_GB}[i])) - 0.1 AS lb FROM j), h AS (SELECT *, 1 / (1 + exp(lb - la)) AS g FROM g)
+    g AS (SELECT *, list_sum(list_transform(range(1, 33), lambda i: ab[i] * {_GA}[i])) + 0.45 AS la, list_sum(list_transform(range(1, 33), lambda i: ab[i] * {_GB}[i])) - 0.25 AS lb FROM j), h AS (SELECT *, 1 / (1 + exp(lb - la)) AS g FROM g)
     {_LONG('CASE WHEN idx = 0 THEN list_transform(va, lambda x: 0.0::DOUBLE) ELSE list_transform(range(1, 17), lambda i: g * va[i] + (1 - g) * vb[i]) END', 'h')}""")
 def v13_gated_fusion(spark, d):
-    return _long(vectors.gated_fusion(*(vectors.aligned(t, 16) for t in _tables(spark, d)), _GA, _GB, (0.3, -0.1)))
+    return _long(vectors.gated_fusion(*(vectors.aligned(t, 16) for t in _tables(spark, d)), _GA, _GB, (0.45, -0.25)))
 
 
 def _entry(row: str, col: str, seed: int) -> str:

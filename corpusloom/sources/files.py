@@ -32,6 +32,12 @@ def read_predictions(spark: SparkSession, glob: str, expected: int) -> DataFrame
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; errors other than its absence are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def content_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 over the digests of the files below a path, in name order."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("d"))
@@ -41,11 +47,8 @@ def content_digest(spark: SparkSession, path: str) -> str:
 def cached(spark: SparkSession, source: str, cache: str, make) -> DataFrame:
     """The Parquet cache of make(source), made again when the digest of the source differs from the stored one."""
     digest = content_digest(spark, source)
-    try:
-        if spark.read.json(f"{cache}/digest").first()["digest"] == digest:
-            return spark.read.parquet(f"{cache}/data")
-    except Exception:  # no cache yet
-        pass
+    if exists(spark, f"{cache}/digest/_SUCCESS") and spark.read.json(f"{cache}/digest").first()["digest"] == digest:
+        return spark.read.parquet(f"{cache}/data")
     make(source).write.mode("overwrite").parquet(f"{cache}/data")
     spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("overwrite").json(f"{cache}/digest")
     return spark.read.parquet(f"{cache}/data")
@@ -54,10 +57,7 @@ def cached(spark: SparkSession, source: str, cache: str, make) -> DataFrame:
 def append_missing(work: DataFrame, done_path: str, keys: list[str], run) -> DataFrame:
     """Runs only the keys of the work list that the result table lacks and appends them: resumption after a loss."""
     spark = work.sparkSession
-    try:
-        done = spark.read.parquet(done_path).select(*keys).distinct()
-        work = work.join(done, keys, "left_anti")
-    except Exception:  # nothing done yet
-        pass
+    if exists(spark, done_path):
+        work = work.join(spark.read.parquet(done_path).select(*keys).distinct(), keys, "left_anti")
     run(work).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)

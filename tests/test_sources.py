@@ -10,16 +10,17 @@ from tests.conftest import rows
 
 def test_ragged_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("m.csv", "a,1,t,in,n,1,ham,hello,world,,\nshort,row\nb,2,t,in,n,1,spam,caf\xe9\n".encode("latin-1"))
-        z.writestr("__MACOSX/m.csv", "a,1,t,in,n,1,ham,no")
+        z.writestr("m.csv", "a,1,t,in,n,1,ham, hello,world ,,\nshort,row\nb,2,t,in,n,1,spam,caf\xe9\n".encode("latin-1"))
+        z.writestr("sub/n.csv", "a,1,t,in,n,1,ham, ,")
     got = rows(archives.ragged_zip(spark, str(tmp_path / "a.zip")).select("source_record", "raw_text", "label"))
-    assert got == [("m.csv:1", "hello,world", 0), ("m.csv:3", "café", 1)]
+    assert got == [("m:1", "hello,world", 0), ("m:3", "café", 1), ("n:1", "", 0)]
 
 
 def test_headed_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
-        z.writestr("v.csv", 'COMMENT_ID,AUTHOR,DATE,CONTENT,CLASS\nx1,a,d,"hi, you",1\n')
-    assert rows(archives.headed_zip(spark, str(tmp_path / "b.zip")).select("source_record", "raw_text", "label")) == [("v.csv:x1", "hi, you", 1)]
+        z.writestr("in/v.csv", 'COMMENT_ID,AUTHOR,DATE,CONTENT,CLASS\nx1,a,d,"hi, y\xf6u",1\n'.encode("latin-1"))
+        z.writestr("__MACOSX/v.csv", "COMMENT_ID,AUTHOR,DATE,CONTENT,CLASS\nx2,a,d,no,1\n")
+    assert rows(archives.headed_zip(spark, str(tmp_path / "b.zip")).select("source_record", "raw_text", "label")) == [("v.csv:x1", "hi, yöu", 1)]
 
 
 def test_mail_tar(spark, tmp_path):
@@ -30,15 +31,15 @@ def test_mail_tar(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(body)
             t.addfile(info, io.BytesIO(body))
-    (tmp_path / "m.tar.bz2").write_bytes(bz2.compress(raw.getvalue()))
-    got = rows(archives.mail_tar(spark, str(tmp_path / "m.tar.bz2")).select("source_record", "raw_text", "label"))
-    assert [(a, b.strip(), c) for a, b, c in got] == [("ham_1/0002", "Only", 0), ("spam_1/0001", "Hello\ncafé", 1)]
+    (tmp_path / "hard_spam_2.tar.bz2").write_bytes(bz2.compress(raw.getvalue()))
+    got = rows(archives.mail_tar(spark, str(tmp_path / "hard_spam_2.tar.bz2")).select("source_record", "raw_text", "label"))
+    assert [(a, b.strip(), c) for a, b, c in got] == [("hard_spam_2.tar.bz2:ham_1/0002", "Only", 1), ("hard_spam_2.tar.bz2:spam_1/0001", "Hello\ncafé", 1)]
 
 
 def test_coerced_csv(spark, tmp_path):
-    (tmp_path / "t.csv").write_text('Group;Message\n1;bir\n2;"iki;iki"\nx;no\n3;no\n1;\n')
+    (tmp_path / "t.csv").write_text('Group;Message\n1; bir \n2;"iki;iki"\nx;no\n3;no\n1;\n')
     got = rows(archives.coerced_csv(spark, str(tmp_path / "t.csv")).select("source_record", "raw_text", "label"))
-    assert got == [("2", "bir", 1), ("3", "iki;iki", 0)]
+    assert got == [("row:2", "bir", 1), ("row:3", "iki;iki", 0)]
 
 
 def test_cache_is_renewed_when_the_source_changes(spark, tmp_path):
