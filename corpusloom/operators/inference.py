@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import metrics
 
 _P = 2147483647
@@ -89,3 +92,66 @@ def completeness(predictions: DataFrame, by: list[str], expected: int) -> DataFr
     """Groups whose predictions are not exactly one for each of `expected` rows."""
     c = predictions.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("row_index").alias("rows"), F.count_if(F.col("probability").isNull()).alias("missing"))
     return c.withColumn("complete", (F.col("n") == expected) & (F.col("rows") == expected) & (F.col("missing") == 0))
+
+
+#: Cumulative probabilities of a Poisson variable of mean 1, below which a weight is at most 0, 1, 2, ...
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080)
+
+
+def out_of_fold(predictions: DataFrame, by: list[str], expected: int) -> DataFrame:
+    """by, row_index, label, probability, prediction: the mean of the seeds of each row, pooled over the folds that test
+    it. Fails unless every group has the expected number of rows, each with a probability."""
+    p = predictions.groupBy(*by, "row_index", "label").agg(F.avg("probability").alias("probability"), F.count_if(F.col("probability").isNull()).alias("_missing"))
+    c = p.groupBy(*by).agg(F.count("*").alias("_n"), F.sum("_missing").alias("_m"), F.countDistinct("row_index").alias("_rows"))
+    whole = (F.col("_n") == expected) & (F.col("_rows") == expected) & (F.col("_m") == 0)
+    ok = F.when(whole, F.col("probability")).otherwise(F.raise_error(F.lit("incomplete out-of-fold probabilities")).cast("double"))
+    j = p.join(F.broadcast(c), by)  # one row a group
+    return j.select(*by, "row_index", "label", ok.alias("probability")).withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+
+
+def weighted_bootstrap(cells: DataFrame, pairs, reps: int, seed: int) -> DataFrame:
+    """cells: configuration, group_id, tn, fp, fn, tp. Interval of the difference of each pair's coefficients and the share
+    of replicates above 0. A group's weight in a replicate is a Poisson draw from (replicate, group), the same for all
+    configurations, so nothing is numbered or joined: weighted sums are combined map-side, whatever the groups."""
+    unit = draw(F.col("rep"), F.col("group_id").cast("bigint"), F.lit(_P), seed) / float(_P)
+    spread = cells.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint")))).withColumn("u", unit)
+    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    sums = spread.withColumn("weight", weight).groupBy("rep", "configuration").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tn", "fp", "fn", "tp")))
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+    below = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    m = sums.select("rep", "configuration", F.when(below > 0, (tp * tn - fp * fn) / below).otherwise(0.0).alias("mcc"))
+    names = sorted({c for p in pairs for c in p})
+    wide = m.groupBy("rep").pivot("configuration", names).agg(F.first("mcc"))
+    d = wide.select(F.explode(F.array(*(F.struct(F.lit(f"{a} - {b}").alias("pair"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs))).alias("x")).select("x.*")
+    q = F.expr("percentile(d, array(0.025, 0.975))")
+    return d.groupBy("pair").agg(F.count("*").alias("reps"), F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"), F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("p_positive"))
+
+
+def robustness(texts: DataFrame, weights: DataFrame, models: dict) -> DataFrame:
+    """texts: row_index, label, clean_text. weights: w, weight. models: name -> which words count. Metrics of every model
+    under every perturbation; the perturbed forms of a text travel as one array, and words meet their weights once."""
+    c, row = F.col("clean_text"), F.col("row_index")
+    forms = {"clean": c, "character_swap": text.swap_characters(c, row), "space_insertion": text.insert_spaces(c, row), "leetspeak": text.leetspeak(c, row), "url_variation": text.vary_urls(c)}
+    made = texts.select("row_index", "label", F.explode(F.array(*(F.struct(F.lit(k).alias("perturbation"), f.alias("form")) for k, f in forms.items()))).alias("x"))
+    w = made.select("row_index", "label", "x.perturbation", F.explode(text.words(F.col("x.form"))).alias("w")).join(weights, "w", "left")
+    sums = w.groupBy("perturbation", "row_index", "label").agg(*(F.sum(F.when(f(F.col("w")), F.coalesce("weight", F.lit(0))).otherwise(0)).alias(f"_{k}") for k, (_, f) in enumerate(models.items())))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), (F.col(f"_{k}") > 0).cast("int").alias("prediction")) for k, n in enumerate(models))))
+    p = sums.select("perturbation", "label", each.alias("y")).select("y.model", "perturbation", "label", "y.prediction")
+    return metrics.with_scores(metrics.confusion(p, ["model", "perturbation"]), ["model", "perturbation"])
+
+
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that fails if a key occurs twice on either side. Keys are counted by map-side combined aggregates."""
+    once = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c), F.first(F.struct(*(x for x in df.columns if x not in keys))).alias(f"{c}_row"))
+    j = once(a, "_a").join(once(b, "_b"), keys)
+    ok = F.when((F.col("_a") == 1) & (F.col("_b") == 1), F.col("_a_row")).otherwise(F.raise_error(F.concat(F.lit("key occurs twice: "), *(F.col(k).cast("string") for k in keys))))
+    return j.select(*keys, ok.alias("_x"), "_b_row").select(*keys, "_x.*", "_b_row.*")
+
+
+def cost(spark, configuration: str, run, n_messages: int, parameters: int, stored_bytes: int) -> DataFrame:
+    """One row: what a run took and holds."""
+    began = time.perf_counter()
+    run()
+    took = time.perf_counter() - began
+    row = (configuration, took, took * 1000 / max(1, n_messages), parameters, stored_bytes / 1e6)
+    return spark.createDataFrame([row], "configuration string, seconds double, ms_per_message double, parameters bigint, stored_mb double")

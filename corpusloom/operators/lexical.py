@@ -62,3 +62,10 @@ def tfidf(docs: DataFrame, grams: Column, key: str = "row_index", min_df: int =
     x = tf.join(idf, "term").select(key, "term", (local * F.col("idf")).alias("v"))
     norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return x.join(norm, key).select(key, "term", (F.col("v") / F.col("norm")).alias("w"))
+
+
+def guarded(current: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The current vocabulary (word, idx) if it equals the recorded one, word by word; otherwise reading it fails."""
+    j = current.join(recorded.select("word", F.col("idx").alias("_idx")), "word", "full")
+    same = F.when(F.col("idx") == F.col("_idx"), F.col("idx")).otherwise(F.raise_error(F.concat(F.lit("the vocabulary drifted at "), "word")).cast("int"))
+    return j.select("word", same.alias("idx"))

@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import char_ngrams
+from corpusloom.operators import lexical
+from corpusloom.operators.prefix import running_total
+
 
 def from_embeddings(embeddings: DataFrame, first: int = 1, width: int = 64) -> DataFrame:
     """idx, vec: a slice of an embedding table; the row of id 0 becomes padding."""
@@ -91,27 +95,26 @@ def random_projection(table: DataFrame, width: int, seed: int = 42, used: int |
 
 
 def gram(table: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of outer products, sum and number of rows without padding: partial sums per Arrow batch, then one aggregate
-    of width x width numbers."""
+    """Sum of outer products, sum and number of rows without padding: one partial sum a partition, added up in a
+    tree."""
 
     def partial(frames):
         import pandas as pd
 
+        n, s, g = 0, 0.0, 0.0
         for f in frames:
             x = np.array(f["vec"].tolist(), dtype=float)
             if len(x):
-                yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0).tolist()], "g": [(x.T @ x).ravel().tolist()]})
+                n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
     parts = table.where("idx <> 0").select("vec").mapInPandas(partial, "n bigint, s array<double>, g array<double>")
-    total = parts.select("n", F.posexplode("g").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    sums = parts.select("n", F.posexplode("s").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    d = len(sums)
-    s, g = np.zeros(d), np.zeros(d * d)
-    for r in sums:
-        s[r["k"]] = r["x"]
-    for r in total:
-        g[r["k"]] = r["x"]
-    return g.reshape(d, d), s, int(sums[0]["n"]) if sums else 0
+    # Arrays are added pairwise in a tree of at most 16-fold fan-in, so the driver meets a few matrices only.
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+    rows = parts.rdd.map(lambda r: (r["n"], np.array(r["s"]), np.array(r["g"])))
+    total = rows.treeReduce(add, depth=3) if not parts.isEmpty() else (0, np.zeros(0), np.zeros(0))
+    return total[2].reshape(len(total[1]), -1), total[1], int(total[0])
 
 
 def pca(table: DataFrame, width: int, centered: bool = True) -> tuple[DataFrame, np.ndarray, float]:
@@ -143,8 +146,9 @@ def explained(spark, values: np.ndarray, total: float) -> DataFrame:
 
 def union_cache(folds: DataFrame) -> DataFrame:
     """word, idx of the words of all folds in the order first seen (fold, then place): 1-based."""
-    first = folds.groupBy("word").agg(F.min(F.struct("fold", "place")).alias("first"))
-    return first.select("word", F.row_number().over(Window.orderBy("first")).alias("idx"))
+    first = folds.groupBy("word").agg(F.min(F.struct("fold", "place")).alias("first")).withColumn("one", F.lit(1)).withColumn("every", F.lit(0))
+    bucket = F.struct(F.col("first.fold").alias("fold"), F.floor(F.col("first.place") / 4096).alias("range"))
+    return running_total(first, ["every"], ["first"], bucket, "one", "before", "of").select("word", (F.col("before") + 1).cast("int").alias("idx"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -179,3 +183,13 @@ def sparse_pca(terms: DataFrame, key: str, width: int, oversample: int = 8, roun
         values = np.linalg.svd(q.T @ z, compute_uv=False)
         q = np.linalg.qr(z)[0]
     return np.sort(values)[::-1][:width] / max(n - 1, 1), variance / max(n - 1, 1)
+
+
+def character_block(words: DataFrame, low: int, high: int, min_df: int, width: int) -> DataFrame:
+    """idx, term, w of the words' character n-grams: sublinear weights of unit length (the commonest `width` terms of
+    min_df words or more), each term divided by its standard deviation over all words."""
+    n = words.agg(F.count("*").alias("n"))
+    x = lexical.tfidf(words, char_ngrams(F.col("word"), low, high), key="idx", min_df=min_df, top=width)
+    s = x.groupBy("term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).crossJoin(F.broadcast(n))  # one row a term, one number
+    std = F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))
+    return x.join(F.broadcast(s.select("term", F.when(std > 0, std).otherwise(1.0).alias("std"))), "term").select("idx", "term", (F.col("w") / F.col("std")).alias("w"))

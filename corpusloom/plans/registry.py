@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import auditing, base, evaluation, parsing, relational, splitting, text, vectors  # noqa: F401  (importing registers)
+from corpusloom.plans import auditing, base, evaluation, parsing, relational, splitting, studies, text, vectors  # noqa: F401  (importing registers)
 
 
 def queries():

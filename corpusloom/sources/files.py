@@ -61,3 +61,34 @@ def append_missing(work: DataFrame, done_path: str, keys: list[str], run) -> Dat
         work = work.join(spark.read.parquet(done_path).select(*keys).distinct(), keys, "left_anti")
     run(work).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)
+
+
+def write_matrix(table: DataFrame, path: str) -> None:
+    """idx, vec as Parquet. Readers see the whole table or none: it is written beside its place and renamed."""
+    spark, partial = table.sparkSession, f"{path}.partial"
+    table.write.mode("overwrite").parquet(partial)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (partial, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{partial} could not be renamed")
+
+
+def extract(words: DataFrame, path: str, batch: int, origin: dict[str, str], run, stop_after: int | None = None) -> DataFrame:
+    """run(words) for idx 1, 2, ... in batches, each written as it is done beside a checkpoint of the offset and of what
+    it was made from. A second call goes on from the offset; one with other words or another origin fails."""
+    spark = words.sparkSession
+    digest = words.agg(F.sum(F.xxhash64("idx", "word").cast("decimal(38,0)")).cast("string"), F.max("idx")).first()
+    about, n, offset = str(sorted(origin.items())), digest[1] or 0, 0
+    if exists(spark, f"{path}/checkpoint"):
+        kept = spark.read.json(f"{path}/checkpoint").orderBy(F.desc("offset")).first()
+        if (kept["words"], kept["origin"]) != (digest[0], about):
+            raise ValueError("the checkpoint was made from a different input")
+        offset = kept["offset"]
+    done = 0
+    while offset < n and (stop_after is None or done < stop_after):
+        # The data of a batch come first; a batch that was cut off is written again.
+        run(words.where((F.col("idx") > offset) & (F.col("idx") <= offset + batch))).write.mode("overwrite").parquet(f"{path}/data/batch={offset}")
+        offset, done = min(n, offset + batch), done + 1
+        spark.createDataFrame([(offset, digest[0], about)], "offset bigint, words string, origin string").coalesce(1).write.mode("append").json(f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/data").drop("batch")
