@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import metrics
+from corpusloom.operators.prefix import running_total
 
 _P = 2147483647
 #: 0.975 quantiles of Student's t by degrees of freedom.
@@ -43,7 +44,8 @@ def bootstrap_difference(groups: DataFrame, a: str, b: str, reps: int, seed: int
     group with tn, fp, fn, tp of both models; a replicate draws groups, so its sufficient statistic is eight sums, and
     the replicates are spread over the cluster."""
     spark = groups.sparkSession
-    numbered = groups.withColumn("k", F.row_number().over(Window.orderBy("group_id")) - 1)  # one row a group
+    ranked = groups.withColumn("one", F.lit(1)).withColumn("every", F.lit(0))
+    numbered = running_total(ranked, ["every"], ["group_id"], F.floor(F.col("group_id") / 4096), "one", "k", "of").drop("one", "every", "of").withColumn("k", F.col("k").cast("bigint"))
     n = numbered.agg(F.count("*").alias("n"))
     draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     picked = draws.select("rep", draw(F.col("rep"), F.col("i"), F.col("n"), seed).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("times"))
@@ -59,9 +61,16 @@ def mcnemar(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Exact two-sided test of the discordant pairs: correct_a, correct_b -> counts and p (1 if there are none)."""
     c = pairs.groupBy(*by).agg(F.sum(F.when(F.col("correct_a") & ~F.col("correct_b"), 1).otherwise(0)).alias("only_a"), F.sum(F.when(~F.col("correct_a") & F.col("correct_b"), 1).otherwise(0)).alias("only_b"))
     n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    ln_factorial = lambda x: F.expr("0D") + F.aggregate(F.sequence(F.lit(0).cast("bigint"), x.cast("bigint")), F.lit(0.0), lambda s, i: s + F.ln(F.greatest(i, F.lit(1)).cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("k")), F.lit(0.0), lambda s, i: s + F.exp(F.col("ln_n") - ln_factorial(i) - ln_factorial(F.col("n") - i) - F.col("n") * F.ln(F.lit(2.0))))
-    t = c.withColumn("n", n).withColumn("k", k).withColumn("ln_n", ln_factorial(F.col("n")))
+    t = c.withColumn("n", n).withColumn("k", k)
+    # ln C(n, i) and the logarithm of the sum so far go from i - 1 to i in one step, so the work is linear in k.
+    first = F.struct((-F.col("n") * F.ln(F.lit(2.0))).alias("term"), (-F.col("n") * F.ln(F.lit(2.0))).alias("total"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] + F.ln((F.col("n") - i + 1) / i)
+        high, low = F.greatest(term, s["total"]), F.least(term, s["total"])
+        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
+
+    tail = F.exp(F.aggregate(F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("k"), F.lit(1)).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), first, step)["total"])
     return t.select(*by, "only_a", "only_b", F.round(F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), 6).alias("p_value"))
 
 

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from corpusloom.operators.splits import class_weights
 
 
-def catalogue(width: int, seed: int = 42) -> dict:
-    """The classifiers by name. The class weight is applied once, as the row weight."""
+def catalogue(width: int, n: int, seed: int = 42, cost: float = 2.0) -> dict:
+    """The classifiers by name, for n training rows. The class weight is applied once, as the row weight; the penalty of
+    the linear models is that of `cost` times the summed loss."""
+    penalty = 1 / (cost * max(1, n))
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic_regression": LogisticRegression(**common, weightCol="sample_weight", standardization=False, regParam=1e-3, maxIter=100),
-        "linear_svm": LinearSVC(**common, weightCol="sample_weight", standardization=False, regParam=1e-3, maxIter=100),
-        "boosted_trees": GBTClassifier(**common, weightCol="sample_weight", maxIter=20, stepSize=0.08, maxDepth=5, seed=seed),
+        "logistic_regression": LogisticRegression(**common, weightCol="sample_weight", standardization=False, regParam=penalty, maxIter=100),
+        "linear_svm": LinearSVC(**common, weightCol="sample_weight", standardization=False, regParam=penalty, maxIter=100),
+        "boosted_trees": GBTClassifier(**common, weightCol="sample_weight", maxIter=120, stepSize=0.08, maxDepth=5, seed=seed),
         "perceptron": MultilayerPerceptronClassifier(**common, layers=[width, 64, 2], maxIter=60, seed=seed, blockSize=512),
     }
 
@@ -28,7 +30,7 @@ def fit_predict(train: DataFrame, test: DataFrame, name: str, width: int, seed:
     """train, test: row_index, vec, label. Gives row_index, label, probability, prediction."""
     w = class_weights(train).select("label", "sample_weight")
     x = lambda df: df.select("row_index", array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"))
-    model = catalogue(width, seed)[name].fit(x(train).join(F.broadcast(w.withColumn("label", F.col("label").cast("double"))), "label"))
+    model = catalogue(width, train.count(), seed)[name].fit(x(train).join(F.broadcast(w.withColumn("label", F.col("label").cast("double"))), "label"))
     p = model.transform(x(test))
     score = vector_to_array("probability")[1] if "probability" in p.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
     return p.select("row_index", F.col("label").cast("int").alias("label"), score.alias("probability"), F.col("prediction").cast("int").alias("prediction"))
@@ -36,16 +38,33 @@ def fit_predict(train: DataFrame, test: DataFrame, name: str, width: int, seed:
 
 class TokenNetwork:
     """Frozen embeddings, convolution over three tokens, maximum over time, one hidden layer, dropout, one logit; Adam on
-    weighted cross-entropy with early stopping and the best state restored."""
+    weighted cross-entropy with early stopping and the best state restored. With several sources the embeddings are equal
+    blocks side by side, fused by a learnt softmax gate: score of a block = its product with the gate's weights + bias."""
 
-    def __init__(self, width: int, seed: int, filters: int = 16, hidden: int = 8):
+    def __init__(self, width: int, seed: int, filters: int = 64, hidden: int = 32, sources: int = 1):
         r = np.random.default_rng(seed)
         s = lambda *d: r.standard_normal(d) * np.sqrt(2.0 / d[0])
         self.p = {"k": s(3 * width, filters), "kb": np.zeros(filters), "a": s(filters, hidden), "ab": np.zeros(hidden), "o": s(hidden, 1), "ob": np.zeros(1)}
-        self.r = r
+        self.r, self.sources = r, sources
+        if sources > 1:
+            self.p |= {"g": np.zeros((sources, width)), "gb": np.zeros(sources)}
+
+    def fused(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of a table with their blocks fused by the gate, and the gate. This is what is deployed: it depends on
+        the word alone, so it is computed once a word."""
+        blocks = table.reshape(len(table), self.sources, -1)
+        z = (blocks * self.p["g"]).sum(axis=2) + self.p["gb"]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        gate = z / z.sum(axis=1, keepdims=True)
+        return (gate[:, :, None] * blocks).sum(axis=1), gate
 
     def forward(self, table: np.ndarray, tokens: np.ndarray, dropout: float = 0.0):
-        e = table[tokens]
+        # Padding on the left of all rows of a batch says nothing.
+        tokens = tokens[:, int(np.argmax((tokens != 0).any(axis=0))) if (tokens != 0).any() else -1 :] if tokens.size else tokens
+        used, at_word = np.unique(tokens, return_inverse=True)
+        rows, gate = self.fused(table[used]) if self.sources > 1 else (table[used], None)
+        self.last = (used, at_word.reshape(tokens.shape), gate)
+        e = rows[self.last[1]]
         e = np.pad(e, ((0, 0), (1, 1), (0, 0)))
         win = np.concatenate([e[:, :-2], e[:, 1:-1], e[:, 2:]], axis=2)
         z = np.maximum(win @ self.p["k"] + self.p["kb"], 0)
@@ -64,6 +83,21 @@ class TokenNetwork:
         dm = (dh @ self.p["a"].T) * drop * (m > 0)
         picked = win[np.arange(len(win))[:, None], at]
         g["k"], g["kb"] = np.einsum("nfc,nf->cf", picked, dm), dm.sum(axis=0)
+        if self.sources > 1:
+            used, words, gate = self.last
+            blocks = table[used].reshape(len(used), self.sources, -1)
+            width = blocks.shape[2]
+            de = np.zeros((len(used), width))
+            back = (dm[:, None, :] * self.p["k"][None]).reshape(len(dm), 3, width, -1)
+            padded = np.pad(words + 1, ((0, 0), (1, 1)))  # 0 lies beside the text
+            for j in range(3):
+                word = np.take_along_axis(padded, at + j, axis=1)
+                for f in range(at.shape[1]):
+                    inside = word[:, f] > 0
+                    np.add.at(de, word[inside, f] - 1, back[inside, j, :, f])
+            dg = np.einsum("usw,uw->us", blocks, de)
+            dz = gate * (dg - (gate * dg).sum(axis=1, keepdims=True))
+            g["g"], g["gb"] = np.einsum("us,usw->sw", dz, blocks), dz.sum(axis=0)
         return g
 
     def fit(self, table, tokens, y, val_tokens, val_y, epochs=30, batch=256, rate=1e-3, dropout=0.4, patience=4):
@@ -92,7 +126,7 @@ class TokenNetwork:
         return best
 
 
-def train_runs(rows: DataFrame, runs: DataFrame, table: np.ndarray, epochs: int = 10) -> DataFrame:
+def train_runs(rows: DataFrame, runs: DataFrame, table: np.ndarray, epochs: int = 30, sources: int = 1) -> DataFrame:
     """rows: fold, part, row_index, label, tokens. runs: configuration, fold, seed. One grouped-map task per run; the
     rows of one fold must fit a task, as they must fit the one machine that trains a run."""
     work = runs.join(rows, "fold")
@@ -100,7 +134,7 @@ def train_runs(rows: DataFrame, runs: DataFrame, table: np.ndarray, epochs: int
     def train(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         part = {p: f[f["part"] == p].sort_values("row_index") for p in ("train", "validation", "test")}
         x = {p: np.array(g["tokens"].tolist(), dtype=np.int64).reshape(len(g), -1) for p, g in part.items()}
-        net = TokenNetwork(table.shape[1], int(key[2]))
+        net = TokenNetwork(table.shape[1] // sources, int(key[2]), sources=sources)
         if len(part["train"]):
             net.fit(table, x["train"], part["train"]["label"].to_numpy(float), x["validation"], part["validation"]["label"].to_numpy(float), epochs)
         t = part["test"]

@@ -154,10 +154,12 @@ def x2_cost_table(spark, d):
     return r.select("configuration", reporting.mean_sd(F.col("m"), F.col("s")).alias("mcc"), F.format_number(F.col("n") * 1000, 0).alias("cost"))
 
 
-@query(f"WITH {RUNS} SELECT DISTINCT configuration, 'plain' AS family, CASE WHEN width >= 512 THEN 'wide' WHEN width >= 128 THEN 'middle' ELSE 'narrow' END AS size FROM runs")
+@query(f"WITH {RUNS} SELECT DISTINCT configuration || suffix AS configuration, family, CASE WHEN width >= 512 THEN 'wide' WHEN width >= 128 THEN 'middle' ELSE 'narrow' END AS size FROM runs, (VALUES ('', 'plain'), ('_pca', 'pca'), ('_concat_gated', 'gated'), ('_RP64', 'random projection')) x(suffix, family)")
 def proj_p10_name_rules(spark, d):
     size = F.when(F.col("width") >= 512, "wide").when(F.col("width") >= 128, "middle").otherwise("narrow")
-    return runs(spark, d).select("configuration", reporting.family(F.col("configuration")).alias("family"), size.alias("size")).distinct()
+    named = F.explode(F.array(*(F.concat("configuration", F.lit(x)) for x in ("", "_pca", "_concat_gated", "_RP64"))))
+    r = runs(spark, d).select(named.alias("configuration"), size.alias("size"))
+    return r.select("configuration", reporting.family(F.col("configuration")).alias("family"), "size").distinct()
 
 
 @query(f"WITH {RUNS}, a AS (SELECT seed, configuration, round(avg(mcc), 6) AS m FROM runs GROUP BY ALL) SELECT seed, {', '.join(f'''max(m) FILTER (configuration = 'config_{c}') AS config_{c}''' for c in range(1, 5))} FROM a GROUP BY seed")
@@ -248,9 +250,12 @@ def a20_scores_by_language(spark, d):
     return metrics.confusion(predictions(spark, d).join(m, "row_index"), ["configuration", "language"]).select("configuration", "language", s["mcc"].alias("mcc"), s["spam_f1"].alias("spam_f1"))
 
 
-@query(f"WITH {PRED}, h AS (SELECT *, round(probability * 4) / 4 AS probability2 FROM pred) SELECT configuration, row_index, round(avg(probability2), 6) AS fused, count(*) AS branches FROM h GROUP BY ALL")
+@query(f"WITH {PRED}, m AS (SELECT configuration, row_index, label, avg(probability) AS p FROM pred GROUP BY ALL) SELECT a.configuration || ' + ' || b.configuration AS fusion, row_index, round((a.p + b.p) / 2, 6) AS fused FROM m a JOIN m b USING (row_index) WHERE a.configuration < b.configuration")
 def v14_late_fusion(spark, d):
-    return predictions(spark, d).groupBy("configuration", "row_index").agg(F.round(F.avg(F.round(F.col("probability") * 4) / 4), 6).alias("fused"), F.count("*").alias("branches"))
+    """Seed means of every two configurations, averaged: the branches of a row meet in one array."""
+    m = predictions(spark, d).groupBy("configuration", "row_index").agg(F.avg("probability").alias("p")).groupBy("row_index").agg(F.array_sort(F.collect_list(F.struct("configuration", "p"))).alias("c"))  # one entry a configuration
+    two = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(F.concat(x["configuration"], F.lit(" + "), y["configuration"]).alias("fusion"), F.round((x["p"] + y["p"]) / 2, 6).alias("fused")))))
+    return m.select("row_index", F.explode(two).alias("f")).select("f.fusion", "row_index", "f.fused")
 
 
 @query()

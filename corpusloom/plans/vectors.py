@@ -30,10 +30,12 @@ def proj_p8_array_prefix(spark, d):
     return _long(_tables(spark, d)[0].select("idx", F.slice("vec", 1, 8).alias("vec")))
 
 
-@query(f"""WITH {_TAB}, ids AS (SELECT vec_id AS word, [vec_id, (vec_id * 7 + 1) % 400 + 1, (vec_id * 13 + 5) % 400 + 1] AS ids FROM embeddings WHERE vec_id BETWEEN 1 AND 100), e AS (SELECT word, unnest(ids) AS idx FROM ids),
+@query(f"""WITH {_TAB}, ids AS (SELECT vec_id AS word, [vec_id, (vec_id * 7 + 1) % (n - 1) + 1, (vec_id * 13 + 5) % (n - 1) + 1] AS ids FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id > 0), e AS (SELECT word, unnest(ids) AS idx FROM ids),
     x AS (SELECT word, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM e JOIN ta USING (idx)) SELECT word, pos, round(avg(x), 5) AS x FROM x GROUP BY ALL""")
 def v2_pooled_vectors(spark, d):
-    ids = table(spark, d, "embeddings").where("vec_id between 1 and 100").select(F.col("vec_id").alias("word"), F.expr("array(vec_id, (vec_id * 7 + 1) % 400 + 1, (vec_id * 13 + 5) % 400 + 1)").alias("ids"))
+    e = table(spark, d, "embeddings")
+    n = e.count() - 1
+    ids = e.where("vec_id > 0").select(F.col("vec_id").alias("word"), F.expr(f"array(vec_id, (vec_id * 7 + 1) % {n} + 1, (vec_id * 13 + 5) % {n} + 1)").alias("ids"))
     p = vectors.pooled(_tables(spark, d)[0], ids)
     return p.select("word", F.posexplode("vec").alias("pos", "x")).select("word", "pos", F.round("x", 5).alias("x"))
 
@@ -133,18 +135,18 @@ def _terms(spark, d):
     from corpusloom.functions.text import words
 
     p = parted(spark, d).where("clean_text is not null and part = 'train'")
-    return lexical.tfidf(p, words(F.col("clean_text")), min_df=2, top=200)
+    return lexical.tfidf(p, words(F.col("clean_text")), min_df=2, top=75_000)
 
 
 @query()
 def v8_sparse_pca(spark, d):
-    values, total = vectors.sparse_pca(_terms(spark, d), "row_index", 8, rounds=2)
+    values, total = vectors.sparse_pca(_terms(spark, d), "row_index", 8)
     return spark.createDataFrame([(k + 1, float(v), float(v) / total) for k, v in enumerate(values)], "component int, eigenvalue double, ratio double")
 
 
 @query()
 def v9_truncated_svd(spark, d):
-    values, _ = vectors.sparse_pca(_terms(spark, d), "row_index", 8, rounds=2, centered=False)
+    values, _ = vectors.sparse_pca(_terms(spark, d), "row_index", 8, centered=False)
     return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(values)], "component int, energy double")
 
 
@@ -153,18 +155,21 @@ def v17_w9_first_seen_union(spark, d):
     return vectors.union_cache(table(spark, d, "documents").select(F.pmod("doc_id", F.lit(5)).alias("fold"), F.col("doc_id").alias("place"), F.coalesce("lang", F.lit("none")).alias("word")))
 
 
-@query(f"WITH {_TAB}, w AS (SELECT doc_id AS word, doc_id % 400 AS idx FROM documents) SELECT word, round(vec[1], 6) AS first, idx = 0 AS padding FROM w JOIN ta USING (idx)")
+@query(f"WITH {_TAB}, w AS (SELECT doc_id AS word, doc_id % (SELECT count(*) FROM embeddings) AS idx FROM documents), j AS (SELECT word, vec FROM w JOIN ta USING (idx)) SELECT word, generate_subscripts(vec, 1) - 1 AS pos, round(unnest(vec), 5) AS x FROM j")
 def j8_gather_vectors(spark, d):
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("word"), F.pmod("doc_id", F.lit(400)).alias("idx"))
-    return w.join(_tables(spark, d)[0], "idx").select("word", F.round(F.col("vec")[0], 6).alias("first"), (F.col("idx") == 0).alias("padding"))
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("word"), F.pmod("doc_id", F.lit(table(spark, d, "embeddings").count())).alias("idx"))
+    return w.join(_tables(spark, d)[0], "idx").select("word", F.posexplode("vec").alias("pos", "x")).select("word", "pos", F.round("x", 5).alias("x"))
 
 
-@query(f"WITH {_TAB} SELECT vec_id AS idx, CASE WHEN ta.idx IS NOT NULL AND vec_id % 3 <> 0 THEN 'base' WHEN vec_id % 2 = 0 THEN 'extra' ELSE 'missing' END AS source FROM embeddings LEFT JOIN ta ON vec_id = ta.idx")
+@query(f"WITH {_TAB}, j AS (SELECT ta.idx, CASE WHEN ta.idx % 3 <> 0 THEN 'base' ELSE 'extra' END AS source, CASE WHEN ta.idx % 3 <> 0 THEN ta.vec ELSE tb.vec END AS vec FROM ta JOIN tb USING (idx)) SELECT idx, source, generate_subscripts(vec, 1) - 1 AS pos, round(unnest(vec), 5) AS x FROM j")
 def j9_two_source_lookup(spark, d):
+    """Every word takes its vector from the base table or, where that lacks it, from the extra one."""
     a, b = _tables(spark, d)
-    base = a.where("idx % 3 <> 0").select("idx", F.lit("base").alias("s1"))
-    extra = b.where("idx % 2 = 0").select("idx", F.lit("extra").alias("s2"))
-    return a.select("idx").join(base, "idx", "left").join(extra, "idx", "left").select("idx", F.coalesce("s1", "s2", F.lit("missing")).alias("source"))
+    base = a.where("idx % 3 <> 0").select("idx", F.col("vec").alias("v1"))
+    extra = b.where("idx % 3 = 0").select("idx", F.col("vec").alias("v2"))
+    j = a.select("idx").join(base, "idx", "left").join(extra, "idx", "left")
+    found = F.coalesce("v1", "v2", F.raise_error(F.lit("a word has no vector")).cast("array<double>"))
+    return j.select("idx", F.when(F.col("v1").isNotNull(), "base").otherwise("extra").alias("source"), F.posexplode(found).alias("pos", "x")).select("idx", "source", "pos", F.round("x", 5).alias("x"))
 
 
 def _labelled(spark, d):
@@ -187,18 +192,29 @@ for _key, _name in (("m1_logistic_regression", "logistic_regression"), ("m2_line
     query()(_f)
 
 
-@query()
-def m5_m8_token_network(spark, d):
-    """Trains the small network for two configurations on the message tokens of one fold and scores its test part."""
+def _network(spark, d, sources: int, seeds: tuple[int, ...]):
+    """The token network on one fold: all words of the training part (each word takes the vector of its number modulo the
+    vectors of the table), the last 128 tokens of every text."""
     p = parted(spark, d).where("clean_text is not null and label is not null")
-    vocab = lexical.vocabulary(p.where("part = 'train'"), top=399)
-    tokens = lexical.token_rows(p, vocab, 24).join(p.select("row_index", "part", "label"), "row_index")
+    vocab = lexical.vocabulary(p.where("part = 'train'"))
+    tokens = lexical.token_rows(p, vocab, 128).join(p.select("row_index", "part", "label"), "row_index")
     rows = tokens.select(F.lit(1).alias("fold"), "part", "row_index", F.col("label").cast("int").alias("label"), "tokens")
-    e = table(spark, d, "embeddings").where("vec_id < 400").select("vec_id", "embedding").orderBy("vec_id").collect()  # the 400 rows of the vocabulary
-    full = np.array([r["embedding"] for r in e], dtype=float)
-    full[0] = 0
-    runs = spark.createDataFrame([("narrow", 1, 1), ("narrow", 1, 2)], "configuration string, fold int, seed int")
-    return models.train_runs(rows, runs, full[:, :16], epochs=3)
+    e = np.array([r["embedding"] for r in table(spark, d, "embeddings").select("embedding").orderBy("vec_id").collect()], dtype=float)  # the frozen table, as it must fit a task
+    n = vocab.count()
+    full = np.vstack([np.zeros((1, e.shape[1])), e[np.arange(n) % len(e)]])
+    runs = spark.createDataFrame([("gated" if sources > 1 else "plain", 1, s) for s in seeds], "configuration string, fold int, seed int")
+    return models.train_runs(rows, runs, full, sources=sources)
+
+
+@query()
+def m5_m8_token_network(spark, d):
+    return _network(spark, d, 1, (1, 2))
+
+
+@query()
+def m6_gated_network(spark, d):
+    """The same network over two halves of the vectors as sources, fused by a learnt gate."""
+    return _network(spark, d, 2, (1,))
 
 
 @query("SELECT label, n_c, round(sum(n_c) OVER () / (2 * n_c), 6) AS sample_weight, round(sum(CASE WHEN label = 0 THEN n_c ELSE 0 END) OVER () / greatest(sum(CASE WHEN label = 1 THEN n_c ELSE 0 END) OVER (), 1), 6) AS pos_weight FROM (SELECT (label >= 5)::INT AS label, count(*) AS n_c FROM embeddings GROUP BY 1)")

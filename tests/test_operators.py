@@ -209,3 +209,32 @@ def test_token_network_learns():
     net.fit(t, x, y, x, y, epochs=60, rate=1e-2, dropout=0.1, patience=20)
     z = net.forward(t, x)[0]
     assert ((z > 0) == (y == 1)).mean() > 0.9
+
+
+def test_gate_gradients_and_deployment():
+    r = np.random.default_rng(5)
+    t = r.standard_normal((12, 8))
+    t[0] = 0
+    x, y, w = r.integers(1, 12, (7, 5)), r.integers(0, 2, 7).astype(float), np.ones(7)
+    x[:3, :2] = 0
+    net = models.TokenNetwork(4, 3, filters=6, hidden=5, sources=2)
+    net.p["g"], net.p["gb"] = r.standard_normal((2, 4)) * 0.5, r.standard_normal(2)
+
+    def loss():
+        z = net.forward(t, x)[0]
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    g = net.gradients(t, x, y, w, 0.0)
+    for name in ("g", "gb", "k", "a", "o"):
+        v = net.p[name]
+        for at in list(np.ndindex(v.shape))[:6]:
+            old = v[at]
+            v[at] = old + 1e-6
+            up = loss()
+            v[at] = old - 1e-6
+            down = loss()
+            v[at] = old
+            assert abs((up - down) / 2e-6 - g[name][at]) < 1e-5
+    plain = models.TokenNetwork(4, 3, filters=6, hidden=5)
+    plain.p = {k: v for k, v in net.p.items() if k not in ("g", "gb")}
+    assert np.allclose(plain.forward(net.fused(t)[0], x)[0], net.forward(t, x)[0], atol=1e-9)
