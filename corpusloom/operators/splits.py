@@ -24,8 +24,8 @@ def group_labels(messages: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, strata: list[str], h: str, key: str) -> DataFrame:
-    """Adds _k, the 1-based rank by hash and id within the strata, and _n, their size, over 256 ranges of the hash."""
-    r = running_total(df.withColumn("_one", F.lit(1)), strata, [h, key], F.floor(F.col(h) / 8388608), "_one", "_before_me", "_n")
+    """Adds _k, the 1-based rank by hash and id within the strata, and _n, their size, over 65,536 ranges of the hash."""
+    r = running_total(df.withColumn("_one", F.lit(1)), strata, [h, key], F.floor(F.col(h) / 32768), "_one", "_before_me", "_n")
     return r.withColumn("_k", F.col("_before_me") + 1).drop("_one", "_before_me")
 
 
