@@ -59,6 +59,23 @@ def test_overlap_of_a_hot_family_and_long_texts(spark):
     assert {r["eval_id"] for r in got.collect()} == {*range(80), 99}
 
 
+def test_index_files_are_written_by_the_tasks_and_read_whole(spark, monkeypatch):
+    r = random.Random(17)
+    texts = [" ".join(words(r, r.randint(1, 30))) for _ in range(200)]
+    monkeypatch.setattr(split_overlap, "SHARD_WORDS", 1500)
+    files = split_overlap.build_index(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(files) > 1
+    held = []
+    for f in files:
+        index, docs, parts = split_overlap._load(f)
+        again, same = split_overlap.Index.build(docs.texts), split_overlap.Texts(docs.texts)
+        for a, b, names in ((index, again, ("vocab", "keys", "before", "text_of")), (docs, same, ("bags", "bigrams", "grams"))):
+            assert all(np.array_equal(getattr(a, n), getattr(b, n)) and getattr(a, n).dtype == getattr(b, n).dtype for n in names)
+        assert sorted(np.concatenate([g.order for g in parts]).tolist()) == list(range(len(docs.texts)))
+        held += docs.texts
+    assert sorted(held) == sorted(texts)
+
+
 def test_overlap_of_empty_tables(spark):
     tr, ev, *_ = overlap_fixture(spark)
     assert split_overlap.overlaps(tr.limit(0), ev).count() == 0
