@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import cut
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, keep_words: bool = True, sep: str = ",") -> DataFrame:
     """CSV with a header. keep_words: all strings, words such as null and nan survive."""
@@ -74,10 +76,16 @@ def write_matrix(table: DataFrame, path: str) -> None:
         raise OSError(f"{partial} could not be renamed")
 
 
+ROUNDS = 16
+
+
 def extract(words: DataFrame, path: str, batch: int, origin: dict[str, str], run, stop_after: int | None = None) -> DataFrame:
     """run(words) for idx 1, 2, ... in batches, each written as it is done beside a checkpoint of the offset and of what
-    it was made from. A second call goes on from the offset; one with other words or another origin fails."""
+    it was made from. A second call goes on from the offset; one with other words or another origin fails. Many batches
+    go in rounds of several, about `ROUNDS` for all words, so a loss costs one round; the words are made before the
+    rounds, not in each."""
     spark = words.sparkSession
+    words = cut(words.repartitionByRange("idx").sortWithinPartitions("idx"))  # a round reads its own part of the files
     digest = words.agg(F.sum(F.xxhash64("idx", "word").cast("decimal(38,0)")).cast("string"), F.max("idx")).first()
     about, n, offset = str(sorted(origin.items())), digest[1] or 0, 0
     if exists(spark, f"{path}/checkpoint"):
@@ -85,10 +93,11 @@ def extract(words: DataFrame, path: str, batch: int, origin: dict[str, str], run
         if (kept["words"], kept["origin"]) != (digest[0], about):
             raise ValueError("the checkpoint was made from a different input")
         offset = kept["offset"]
-    done = 0
+    many, done = max(1, -(-n // (batch * ROUNDS))), 0
     while offset < n and (stop_after is None or done < stop_after):
-        # The data of a batch come first; a batch that was cut off is written again.
-        run(words.where((F.col("idx") > offset) & (F.col("idx") <= offset + batch))).write.mode("overwrite").parquet(f"{path}/data/batch={offset}")
-        offset, done = min(n, offset + batch), done + 1
+        here = many if stop_after is None else min(many, stop_after - done)
+        # The data of a round come first; a round that was cut off is written again.
+        run(words.where((F.col("idx") > offset) & (F.col("idx") <= offset + batch * here))).write.mode("overwrite").parquet(f"{path}/data/batch={offset}")
+        offset, done = min(n, offset + batch * here), done + here
         spark.createDataFrame([(offset, digest[0], about)], "offset bigint, words string, origin string").coalesce(1).write.mode("append").json(f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/data").drop("batch")

@@ -35,6 +35,25 @@ def test_extraction_goes_on_from_its_checkpoint_and_guards_its_input(spark, tmp_
         files.extract(words(spark, ["other"]), path, 5, {"table": "a"}, run)
 
 
+def test_extraction_of_many_batches_takes_few_rounds_and_makes_the_words_once(spark, tmp_path):
+    calls, made = [], spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    w = words(spark, [f"w{k}" for k in range(200)]).mapInPandas(counted, "idx int, word string")
+
+    def run(part):
+        calls.append(1)
+        return part.select("idx", F.upper("word").alias("up"))
+
+    assert len(rows(files.extract(w, str(tmp_path / "x"), 2, {}, run, stop_after=3))) == 6
+    assert rows(files.extract(w, str(tmp_path / "x"), 2, {}, run)) == [(k, f"W{k - 1}") for k in range(1, 201)]
+    assert len(calls) <= 18 and made.value <= 4 * 200
+
+
 def test_vocabulary_guard(spark):
     v = words(spark, ["a", "b", "c"]).select("word", "idx")
     assert rows(lexical.guarded(v, v)) == [("a", 1), ("b", 2), ("c", 3)]
