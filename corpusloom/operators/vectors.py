@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import char_ngrams
 from corpusloom.operators import lexical
 from corpusloom.operators.prefix import running_total
+from corpusloom.runtime import cut
 
 
 def from_embeddings(embeddings: DataFrame, first: int = 1, width: int = 64) -> DataFrame:
@@ -157,29 +159,57 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.round(F.max("d"), 6).alias("max_difference"), F.round(F.avg("d"), 6).alias("mean_difference"))
 
 
+def _round(rows: DataFrame, q: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X'.(X.Q - shift) and the column sums of X.Q of sparse rows (at, w): each task adds up its rows, blocks of the sums
+    are added over the tasks."""
+    k, height = q.shape[1], 1024
+
+    def partial(batches):
+        z, total = np.zeros(q.shape), np.zeros(k)
+        for batch in batches:
+            at, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "w"))
+            ends = np.concatenate([[0], np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False))])
+            row = 0
+            while row < len(ends) - 1:
+                stop = max(row + 1, int(np.searchsorted(ends, ends[row] + 200_000, side="right")) - 1)
+                part = slice(ends[row], ends[stop])
+                y = np.add.reduceat(q[at[part]] * w[part, None], ends[row:stop] - ends[row], axis=0)
+                total += y.sum(axis=0)
+                back = np.repeat(y - shift, np.diff(ends[row : stop + 1]), axis=0) * w[part, None]
+                for c in range(k):
+                    z[:, c] += np.bincount(at[part], back[:, c], len(z))
+                row = stop
+        bodies = [total.tobytes(), *(z[b : b + height].tobytes() for b in range(0, len(z), height))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int32()), pa.array(bodies, pa.binary())], names=["block", "body"])
+
+    def added(g):
+        return g.iloc[:1].assign(body=[sum(np.frombuffer(x) for x in g["body"]).tobytes()])
+
+    few = rows.select("at", "w").coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))  # a task's sums are as large as Q
+    parts = few.mapInArrow(partial, "block int, body binary").groupBy("block").applyInPandas(added, "block int, body binary").collect()
+    total, *z = (np.frombuffer(r["body"]) for r in sorted(parts, key=lambda r: r["block"]))
+    return np.concatenate([np.zeros(0), *z]).reshape(q.shape), total
+
+
 def sparse_pca(terms: DataFrame, key: str, width: int, oversample: int = 8, rounds: int = 4, centered: bool = True, seed: int = 7) -> tuple[np.ndarray, float]:
     """Leading singular values squared over n - 1 of a long relation (key, term, w) and its total variance, without
-    densifying: X.Q and X'.Q are join-aggregates, centring is an implicit rank-one correction, QR runs on the driver on
-    term-count x (width + oversample) numbers of the bounded vocabulary."""
-    vocab = [r["term"] for r in terms.select("term").distinct().orderBy("term").collect()]
-    at, spark = {t: k for k, t in enumerate(vocab)}, terms.sparkSession
-    n = terms.select(key).distinct().count()
-    k = min(width + oversample, len(vocab))
-    total = {r["term"]: (r["s"], r["q"]) for r in terms.groupBy("term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).collect()}
-    mean = np.array([total[t][0] / n if centered else 0.0 for t in vocab])
-    variance = sum(q for _, q in total.values()) - n * float(mean @ mean)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocab), k)))[0]
+    densifying: a round is one pass over sparse rows, centring is an implicit rank-one correction, QR runs on the driver
+    on term-count x (width + oversample) numbers of the bounded vocabulary."""
+    terms = cut(terms.select(key, "term", "w"))
+    known = terms.groupBy("term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).orderBy("term").toArrow()
+    numbered = terms.sparkSession.createDataFrame(pa.table({"term": known["term"], "at": pa.array(np.arange(known.num_rows, dtype=np.int32))}))
+    each = terms.join(F.broadcast(numbered), "term").groupBy(key).agg(F.collect_list(F.struct("at", "w")).alias("s"))
+    rows = cut(each.select(F.col("s.at").alias("at"), F.col("s.w").alias("w")))
+    n, size = rows.count(), known.num_rows
+    k = min(width + oversample, size)
+    mean = known["s"].to_numpy() / n if centered and n else np.zeros(size)
+    variance = float(known["q"].to_numpy().sum()) - n * float(mean @ mean)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, k)))[0]
     values = np.zeros(k)
-    for _ in range(rounds):
-        side = spark.createDataFrame([(t, q[at[t]].tolist()) for t in vocab], "term string, q array<double>")
-        rows = terms.join(F.broadcast(side), "term").select(key, F.posexplode(F.transform("q", lambda x: x * F.col("w"))).alias("c", "x")).groupBy(key, "c").agg(F.sum("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("y"))
+    for _ in range(rounds if size else 0):
         shift = mean @ q
-        back = terms.join(rows, key).select("term", F.posexplode(F.transform("y", lambda x, i: (x - F.array(*map(F.lit, shift.tolist()))[i]) * F.col("w"))).alias("c", "x")).groupBy("term", "c").agg(F.sum("x").alias("x")).collect()
-        sums = {r["c"]: r["x"] for r in rows.select(F.posexplode("y").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x")).collect()}
-        z = np.zeros((len(vocab), k))
-        for r in back:
-            z[at[r["term"]], r["c"]] = r["x"]
-        z -= np.outer(mean, np.array([sums[c] for c in range(k)]) - n * shift)
+        z, sums = _round(rows, q, shift)
+        z = z - np.outer(mean, sums - n * shift)
         values = np.linalg.svd(q.T @ z, compute_uv=False)
         q = np.linalg.qr(z)[0]
     return np.sort(values)[::-1][:width] / max(n - 1, 1), variance / max(n - 1, 1)

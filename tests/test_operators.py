@@ -127,6 +127,18 @@ def test_sparse_pca_matches_dense(spark):
     assert np.allclose(values, (s**2 / (len(kept) - 1))[:3], rtol=1e-3) and np.isclose(total, kept.var(axis=0, ddof=1).sum())
 
 
+def test_sparse_pca_sends_the_driver_blocks_not_numbers(spark, monkeypatch):
+    got, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: got.append(collect(self)) or got[-1])
+    r = np.random.default_rng(4)
+    x = r.random((30, 40)) * (r.random((30, 40)) < 0.3)
+    df = spark.createDataFrame([(i, f"t{j:02d}", float(x[i, j])) for i in range(30) for j in range(40) if x[i, j]], "row_index bigint, term string, w double")
+    values, _ = vectors.sparse_pca(df, "row_index", 3, rounds=6, centered=False)
+    assert np.allclose(values, (np.linalg.svd(x[x.any(axis=1)], compute_uv=False) ** 2 / (x.any(axis=1).sum() - 1))[:3], rtol=1e-3)
+    assert max(map(len, got)) <= 2
+    assert not vectors.sparse_pca(df.limit(0), "row_index", 3)[0].any()
+
+
 # Fixed value: the first row is the published one.
 @pytest.mark.parametrize("tn,fp,fn,tp,mcc", [(89291, 3120, 1535, 11497, 0.80809), (5, 0, 0, 0, 0.0), (1, 0, 0, 1, 1.0)])
 def test_scores(spark, tn, fp, fn, tp, mcc):
