@@ -250,3 +250,33 @@ def test_gate_gradients_and_deployment():
     plain = models.TokenNetwork(4, 3, filters=6, hidden=5)
     plain.p = {k: v for k, v in net.p.items() if k not in ("g", "gb")}
     assert np.allclose(plain.forward(net.fused(t)[0], x)[0], net.forward(t, x)[0], atol=1e-9)
+
+
+def test_networks_of_runs_take_batches_that_say_the_same(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    t = r.standard_normal((20, 6))
+    t[0] = 0
+    x = np.zeros((70, 9), dtype=np.int64)
+    for k in range(70):
+        n = r.integers(0, 10)
+        x[k, 9 - n :] = r.integers(1, 20, n)
+    net = models.TokenNetwork(6, 2)
+    net.p["kb"] += 0.5  # windows of padding alone count
+    whole = net.forward(t, x)[0]
+    e = np.pad(t[x], ((0, 0), (1, 1), (0, 0)))
+    win = np.concatenate([e[:, :-2], e[:, 1:-1], e[:, 2:]], axis=2)
+    m = np.maximum(win @ net.p["k"] + net.p["kb"], 0).max(axis=1)
+    want = (np.maximum(m @ net.p["a"] + net.p["ab"], 0) @ net.p["o"] + net.p["ob"])[:, 0]
+    assert np.allclose(whole, want) and np.allclose(net.logits(t, x, 1), want)
+    parts = ["train"] * 40 + ["validation"] * 10 + ["test"] * 20
+    rows_ = [(1, parts[k], k, int(k % 3 == 0), x[k].tolist()) for k in r.permutation(70).tolist()]
+    df = spark.createDataFrame(rows_, "fold int, part string, row_index bigint, label int, tokens array<int>")
+    runs = spark.createDataFrame([("a", 1, 4), ("b", 1, 5)], "configuration string, fold int, seed int")
+    y = np.arange(70) % 3 == 0
+    got = {(q["seed"], q["row_index"]): q["probability"] for q in models.train_runs(df, runs, t, epochs=2).collect()}
+    for seed in (4, 5):
+        n = models.TokenNetwork(6, seed)
+        n.fit(t, x[:40], y[:40].astype(float), x[40:50], y[40:50].astype(float), 2)
+        assert np.allclose([got[seed, k] for k in range(50, 70)], 1 / (1 + np.exp(-n.forward(t, x[50:])[0])))
+    monkeypatch.setattr(models.TokenNetwork, "forward", lambda self, table, tokens, dropout=0.0: (np.zeros(len(tokens)), None) if len(tokens) <= 1024 else 1 / 0)
+    assert len(net.logits(t, models.Tokens(models.pa.array([[1, 2]] * 5000, models.pa.list_(models.pa.int32())), 128))) == 5000
