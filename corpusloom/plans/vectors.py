@@ -198,10 +198,11 @@ def _network(spark, d, sources: int, seeds: tuple[int, ...]):
     p = parted(spark, d).where("clean_text is not null and label is not null")
     vocab = lexical.vocabulary(p.where("part = 'train'"))
     tokens = lexical.token_rows(p, vocab, 128).join(p.select("row_index", "part", "label"), "row_index")
-    rows = tokens.select(F.lit(1).alias("fold"), "part", "row_index", F.col("label").cast("int").alias("label"), "tokens")
     e = np.array([r["embedding"] for r in table(spark, d, "embeddings").select("embedding").orderBy("vec_id").collect()], dtype=float)  # the frozen table, as it must fit a task
-    n = vocab.count()
-    full = np.vstack([np.zeros((1, e.shape[1])), e[np.arange(n) % len(e)]])
+    # Words of one vector are one token, so the table doesn't grow with the vocabulary.
+    own = F.transform("tokens", lambda x: F.when(x == 0, 0).otherwise(F.pmod(x - 1, F.lit(len(e))) + 1).cast("int"))
+    rows = tokens.select(F.lit(1).alias("fold"), "part", "row_index", F.col("label").cast("int").alias("label"), own.alias("tokens"))
+    full = np.vstack([np.zeros((1, e.shape[1])), e])
     runs = spark.createDataFrame([("gated" if sources > 1 else "plain", 1, s) for s in seeds], "configuration string, fold int, seed int")
     return models.train_runs(rows, runs, full, sources=sources)
 
