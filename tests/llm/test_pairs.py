@@ -260,3 +260,44 @@ def test_near_copies_with_a_changed_letter_in_every_third_word(spark):
     ev = spark.createDataFrame([("test", k, "s", t) for k, t in enumerate(evaluation)], "split_name string, eval_id bigint, source string, text string")
     got = split_overlap.overlaps(spark.createDataFrame([(t,) for t in train], "text string"), ev)
     assert {r["eval_id"] for r in got.collect()} == {*range(52)}
+
+
+def test_second_filter_keeps_near_texts_and_drops_those_in_another_order(monkeypatch):
+    monkeypatch.setattr(split_overlap, "_GROUP", 20)
+    r = random.Random(23)
+    train = [" ".join(words(r, r.randint(1, 40))) for _ in range(60)] + ["д" + " ".join(words(r, 9)) for _ in range(20)]
+
+    def changed(t, ways):
+        out = list(t)
+        for _ in range(max(1, len(t) // 11)):
+            k, way = r.randrange(len(out)), r.choice(ways)
+            out[k : k + (way != "insert")] = [] if way == "delete" else [r.choice("abcxyz")]
+        return "".join(out) or "a"
+
+    evaluation = [changed(t, ways) for t in train for ways in (["insert"], ["delete"], ["swap"], ["insert", "delete", "swap"])]
+    a, b = split_overlap.Texts(train), split_overlap.Texts(evaluation)
+    parts = split_overlap.groups(b)
+    assert len(parts) > 10 and any(g.axes.shape[1] for g in parts)
+    t, d = (np.concatenate(x) for x in zip(*split_overlap._alike(a, b, parts)))
+    ok = split_overlap._by_halves(a, b, t, d)
+    held = set(zip(t[ok].tolist(), d[ok].tolist()))
+    near = {(x, y) for x, p in enumerate(train) for y, q in enumerate(evaluation) if SequenceMatcher(None, q, p, autojunk=False).ratio() >= 0.9}
+    assert len(near) > 150 and near <= held
+    # The same letters, the halves exchanged.
+    turned = split_overlap.Texts([p[len(p) // 2 :] + p[: len(p) // 2] for p in train[:60] if len(p) > 80])
+    same = split_overlap.Texts([p for p in train[:60] if len(p) > 80])
+    every = np.arange(len(same.texts))
+    assert len(every) > 20 and split_overlap._by_halves(same, same, every, every).all() and split_overlap._by_halves(same, turned, every, every).mean() < 0.1
+
+
+def test_evaluation_records_are_read_once(spark):
+    tr, ev, *_ = overlap_fixture(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert split_overlap.overlaps(tr, ev.mapInArrow(counted, ev.schema)).count()
+    assert seen.value == ev.count()
