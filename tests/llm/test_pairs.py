@@ -290,6 +290,36 @@ def test_second_filter_keeps_near_texts_and_drops_those_in_another_order(monkeyp
     assert len(every) > 20 and split_overlap._by_halves(same, same, every, every).all() and split_overlap._by_halves(same, turned, every, every).mean() < 0.1
 
 
+def test_several_texts_share_a_number_of_the_letter_filter():
+    r = np.random.default_rng(31)
+    for n, k in ((1, 63), (13, 127), (50, 700)):
+        a, b = r.random((20, k)) < 0.5, r.random((k, n)) < 0.5
+        mine, theirs = r.integers(-40, 90, 20), r.integers(-60, 60, (2, n))
+        size = np.full(n, 150)
+        bits = split_overlap._bits(k, (np.stack([mine] * 2), theirs), (np.array([100, 1000]), size))
+        packed = split_overlap._packed(b, theirs, bits)
+        many = 50 // bits
+        assert many > 2 and packed.shape[1] == -(-n // many)
+        for side in (0, 1):
+            here = np.concatenate([a, -mine[:, None], np.ones((20, 1)), np.full((20, 1), side - 1), np.full((20, 1), -side)], axis=1)
+            sums = (here @ packed).view(np.int64)
+            room = np.stack([(sums >> bits * f & (1 << bits) - 1) - (1 << bits - 1) for f in range(many)], axis=2).reshape(20, -1)[:, :n]
+            assert (room == a.astype(int) @ b - mine[:, None] - theirs[side]).all()
+
+
+def test_letter_filter_gives_every_pair_whose_letters_allow_the_similarity(monkeypatch):
+    monkeypatch.setattr(split_overlap, "_GROUP", 50)
+    r = random.Random(37)
+    make = lambda: " ".join(words(r, r.choice([1, 3, 12, 13, 14, 40, 300])))
+    train = [make() for _ in range(300)] + ["a" * 4000, "д" * 700]
+    evaluation = [t[: r.randint(len(t) * 8 // 10, len(t))] + make()[: len(t) // 9] for t in train]
+    a, b = split_overlap.Texts(train), split_overlap.Texts(evaluation)
+    got = {(x, y) for t, d in split_overlap._alike(a, b, split_overlap.groups(b)) for x, y in zip(t.tolist(), d.tolist())}
+    common = np.minimum(a.bags[:, None].astype(int), b.bags[None].astype(int)).sum(axis=2)
+    want = 2 * common >= 0.9 * (a.size[:, None] + b.size) - 1e-6
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(want)))) and 50 < want.sum() < want.size / 2
+
+
 def test_evaluation_records_are_read_once(spark):
     tr, ev, *_ = overlap_fixture(spark)
     seen = spark.sparkContext.accumulator(0)
